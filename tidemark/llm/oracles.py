@@ -13,3 +13,26 @@ kept as (
 select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256
 from w left join kept on kept.doc_id = w.doc_id
 """
+
+NGRAM = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+),
+grams as (
+  select distinct doc_id, g from (
+    select doc_id, array_to_string(ws[i:i + 3], ' ') as g from w, unnest(range(1, len(ws) - 2)) as t(i)
+    union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 3
+  )
+),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+overlaps as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_have >= 85 * (x.n + y.n - both_have)
+),
+ways as (select a, b from links union all select b, a from links),
+reached(doc_id, root) as (select doc_id, doc_id from documents union select ways.b, root from reached join ways on ways.a = reached.doc_id)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
+from w left join sizes on sizes.doc_id = w.doc_id
+join (select doc_id, min(root) as component_id from reached group by doc_id) c on c.doc_id = w.doc_id
+"""

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import oracles, substring
+from tidemark.llm import ngram, oracles, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.classify(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("n_copies")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_table(spark, sf_dir, "documents"), width=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup,)}
-ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup)}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM, "op2_substring_dedup": oracles.SUBSTRING}

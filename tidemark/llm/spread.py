@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,9 +27,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def set_conf(spark: SparkSession, **values: str) -> None:
-    for key, value in values.items():
-        spark.conf.set(key.replace("__", "."), value)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        global _own
+        folder = _own = _own or tempfile.mkdtemp(prefix="shared-")
+    return folder
+
+
+_own = None
+
+
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed columns in the shared folder and read from there; ``release`` removes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that nothing will read again."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._table
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _bit(column: Column, bits: int) -> Column:
@@ -64,6 +91,13 @@ class Bitmap:
         return hit(_bit(column, self.bits))
 
 
+def split_by(docs: DataFrame, ids: DataFrame, name: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` that may be among ``ids`` (few others with them), and those that are surely not. Nothing is shuffled."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    marked = docs.withColumn("_hit", maybe_in(ids, name, rows).test(key))
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node id.
 
@@ -97,5 +131,11 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not some day."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
