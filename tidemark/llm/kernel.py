@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -103,5 +103,17 @@ def windows(ids: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix((run[width:] - run[:n]) * down[:n], seed)
 
 
+def sequences(texts: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each text's word sequence."""
+    ids = texts.ids()
+    up, down = powers(len(ids) + 1)
+    out = []
+    for seed in (8, 9):
+        run = np.zeros(len(ids) + 1, np.uint64)
+        np.cumsum(mix(ids, seed) * up[: len(ids)], out=run[1:])
+        out.append(mix((run[texts.bounds[1:]] - run[texts.bounds[:-1]]) * down[np.minimum(texts.bounds[:-1], len(ids))], seed))
+    return out[0], out[1]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)

@@ -9,7 +9,8 @@ used by documents with more such blocks than spare ones, so nothing is lost.
 
 Equal sets are joined first, by hash, as one node. Then three rounds find the links that matter for the classes: each
 document with the smallest document that shares a block; the other smallest ones; and all pairs that share a block and
-are not yet in one class. A class of k copies so takes about k tests. Sets are 54-bit hashes of the n-grams.
+are not yet in one class. A class of k copies so takes about k tests. Before a test, parities of n-gram counts in as many
+cells as n-grams rule out pairs that surely differ too much. Sets are 54-bit hashes of the n-grams.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernel
-from tidemark.llm.spread import components, cut, release, split_by, table
+from tidemark.llm.spread import components, cut, release, split_by, sweep, table
 
 BITS = np.uint64(54)
 MASK = np.uint64((1 << 54) - 1)
@@ -71,11 +72,53 @@ def _identities(n: int):
         for ids, texts in _texts(rows):
             grams, bounds = sets(texts, n)
             h1, h2 = (_sums(kernel.mix(grams, s), bounds) for s in (3, 4))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds).astype(np.int64)), pa.array(kernel.signed(h1)), pa.array(kernel.signed(h2))], ["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds).astype(np.int64)), pa.array(kernel.signed(h1)), pa.array(kernel.signed(h2)), pa.array(_parities(grams, bounds), pa.binary())], _IDENTITY_NAMES)
 
     return run
 
 
+_IDENTITY_NAMES = ["doc_id", "n", "h1", "h2", "parity"]
+_IDENTITY = "doc_id long, n long, h1 long, h2 long, parity binary"
+
+
+def _parities(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, the parity of the number of its n-grams in each of 64, 128, ... cells, at least as many as n-grams.
+
+    The xor of two sets' parities has a one for at most each n-gram in which they differ. Halves of more cells fold by
+    xor into fewer.
+    """
+    sizes = np.diff(bounds)
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(cells)])
+    at = np.repeat(base[:-1], sizes) + (grams.astype(np.int64) & (np.repeat(cells, sizes) - 1))
+    bits = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
+    packed, cut_at = np.packbits(bits, bitorder="little").tobytes(), (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(cut_at[:-1], cut_at[1:], strict=True)]
+
+
+def _differ_little(percent: int):
+    """Keeps the pairs whose parities don't show more differences than their sizes allow."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            for x, y, nx, ny in zip(*(batch[c].to_pylist() for c in ("parity_a", "parity_b", "n_a", "n_b")), strict=True):
+                cells = 8 * min(len(x), len(y))
+                x, y = _folded(x, cells), _folded(y, cells)
+                keep.append((100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (nx + ny))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _folded(x: bytes, cells: int) -> int:
+    value, have = int.from_bytes(x, "little"), 8 * len(x)
+    while have > cells:
+        have //= 2
+        value = (value >> have) ^ (value & ((1 << have) - 1))
+    return value
+
+
 @lru_cache
 def classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size classes: first sizes, the number of blocks for pairs whose larger set is in the class, and spare ones.
@@ -165,6 +208,27 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(_overlaps(percent), "a long, b long")
 
 
+def _likely(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities don't rule out."""
+    a = prints.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
+    b = prints.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"))
+    near = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    return table(near.mapInArrow(_differ_little(percent), "a long, b long").distinct())
+
+
+def _sparse_rows(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The sparse rows (doc_id, grams) of the documents in ``pairs``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    maybe, _ = split_by(docs, wanted, "doc_id", wanted.count())
+    return table(maybe.join(wanted, "doc_id", "left_semi").mapInArrow(_rows(n), "doc_id long, grams binary").distinct())
+
+
+def _rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
+    for x in names:
+        df = df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    return df
+
+
 def _fits(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
@@ -179,52 +243,52 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     one of them links with, all do. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
-    found = table(docs.where("doc_id is not null").mapInArrow(_identities(n), "doc_id long, n long, h1 long, h2 long"))
+    found = table(named.mapInArrow(_identities(n), _IDENTITY))
     same = found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    known = table(found.join(same, ["h1", "h2", "n"], "left").selectExpr("doc_id", "n", "coalesce(rep, doc_id) as rep", "coalesce(n_copies, 1L) as n_copies"))
-    copies = known.where("doc_id <> rep").select("doc_id").distinct()
-    own = known.where("doc_id = rep").select("doc_id").distinct()
+    known = table(found.drop("parity").join(same, ["h1", "h2", "n"], "left").selectExpr("doc_id", "n", "coalesce(rep, doc_id) as rep", "coalesce(n_copies, 1L) as n_copies"))
+    copies = table(known.where("doc_id <> rep").select("doc_id").distinct())
     maybe, rest = split_by(named, copies, "doc_id", copies.count())
+    own = known.where("doc_id = rep").select("doc_id").distinct()
     unlike = rest.unionByName(maybe.join(own, "doc_id", "left_semi"))
-
-    blocks = unlike.mapInArrow(_blocks(n, percent), "block long, doc_id long, n int")
-    order = "over (partition by block order by doc_id rows between unbounded preceding and current row)"
-    shared = blocks.selectExpr("block", "doc_id as b", "n as nb", f"first_value(doc_id) {order} as a", f"first_value(n) {order} as na").where("a <> b")
-    shared = table(shared)
-
-    stars = shared.where(_fits(percent)).select("a", "b").distinct()
-    nearest = table(stars.groupBy("b").agg(F.min("a").alias("a")))
-    members = shared.select(F.col("a").alias("doc_id")).unionByName(shared.select(F.col("b").alias("doc_id"))).distinct()
-    wanted, _ = split_by(unlike, members, "doc_id", members.count())
-    rows = table(wanted.join(members, "doc_id", "left_semi").mapInArrow(_rows(n), "doc_id long, grams binary").distinct())
-    first = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    alike = known.join(first.select("doc_id", "a"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    del same
+    sweep(spark)
+
+    def blocks() -> DataFrame:
+        made = unlike.mapInArrow(_blocks(n, percent), "block long, doc_id long, n int")
+        order = "over (partition by block order by doc_id rows between unbounded preceding and current row)"
+        return table(made.selectExpr("block", "doc_id as b", "n as nb", f"first_value(doc_id) {order} as a", f"first_value(n) {order} as na").where("a <> b"))
+
+    shared = blocks()
+    sweep(spark)
+    # first the documents against the smallest one of each of their blocks
+    stars = table(shared.where(_fits(percent)).select("a", "b").distinct())
+    likely = _likely(stars, found, percent)
+    rows = _sparse_rows(unlike, likely, n)
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a"))
+    several = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    alike = known.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     links = table(_links(nearest, rows, percent).unionByName(alike))
     roots = components(links)
-
-    def rooted(df: DataFrame, *names: str) -> DataFrame:
-        for x in names:
-            df = df.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
-        return df
-
-    others = rooted(stars.join(nearest, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b").select("a", "b")
+    others = _rooted(likely.join(nearest, ["a", "b"], "left_anti"), roots, "a", "b").where("root_a <> root_b").select("a", "b")
     more = table(_links(others, rows, percent))
-    every = links.unionByName(more)
-    roots = components(every)
-    # blocks whose documents are in several classes: all their pairs across classes
-    tested = stars
+    sweep(spark)
+    # then all pairs across classes within the blocks whose documents are in several classes
+    roots = components(links.unionByName(more))
     inside = shared.select("block", "b", "nb").unionByName(shared.select("block", F.col("a").alias("b"), F.col("na").alias("nb")).distinct())
-    inside = rooted(inside, "b")
+    inside = _rooted(inside, roots, "b")
     split = inside.groupBy("block").agg(F.min("root_b").alias("x"), F.max("root_b").alias("y")).where("x <> y").select("block")
     inside = table(inside.join(split, "block", "left_semi"))
     left = inside.select("block", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root_b").alias("root_a"))
     across = left.join(inside, "block").where("a < b and root_a <> root_b").where(_fits(percent)).select("a", "b").distinct()
-    last = table(_links(across.join(tested, ["a", "b"], "left_anti"), rows, percent))
-    roots = components(every.unionByName(last))
+    unsure = _likely(across.join(stars, ["a", "b"], "left_anti"), found, percent)
+    rest_rows = _sparse_rows(unlike, unsure, n)
+    last = table(_links(unsure, rest_rows, percent))
+    roots = components(links.unionByName(more).unionByName(last))
     out = cut(known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("doc_id", "n as n_shingles", "coalesce(root, rep) as component_id", "n_copies"))
-    release(found, known, shared, nearest, rows, links, more, inside, last)
-    unnamed = docs.where("doc_id is null").mapInArrow(_identities(n), "doc_id long, n long, h1 long, h2 long").selectExpr("doc_id", "n as n_shingles", "cast(null as long) as component_id", "1L as n_copies")
+    release(found, known, copies, shared, stars, likely, rows, links, more, inside, unsure, rest_rows, last)
+    sweep(spark)
+    unnamed = docs.where("doc_id is null").mapInArrow(_identities(n), _IDENTITY).selectExpr("doc_id", "n as n_shingles", "cast(null as long) as component_id", "1L as n_copies")
     return out.unionByName(unnamed)

@@ -26,9 +26,9 @@ grams as (
   )
 ),
 sizes as (select doc_id, count(*) as n from grams group by doc_id),
-overlaps as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
 links as (
-  select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_have >= 85 * (x.n + y.n - both_have)
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_have >= 85 * (x.n + y.n - both_have)
 ),
 ways as (select a, b from links union all select b, a from links),
 reached(doc_id, root) as (select doc_id, doc_id from documents union select ways.b, root from reached join ways on ways.a = reached.doc_id)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram, oracles, substring
+from tidemark.llm import digest, ngram, oracles, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_table(spark, sf_dir, "documents"), width=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup)}
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.neighbour_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op8_document_fingerprints)}
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM, "op2_substring_dedup": oracles.SUBSTRING}

@@ -5,6 +5,7 @@ cover are hashed, as anchors of ``width - period + 1`` words. Two equal windows
 the same place in both, so a window that holds no repeated anchor needs no look. Around repeated anchors the match is
 extended to whole windows, which are compared by 128 bits of hash; each window's first start stays.
 
+Whole texts that repeat an earlier one are set aside first, by 128 bits of hash: all their windows start earlier.
 No pairs are made: an anchor or window that occurs k times costs k rows. Texts are read again (and only where a small
 bitmap says that something may repeat) instead of being shuffled whole.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import kernel
-from tidemark.llm.spread import cut, maybe_in
+from tidemark.llm.spread import release, split_by, sweep, table
 
 #: Perfect difference sets: each distance modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -43,6 +44,15 @@ def _places(texts: kernel.Words) -> np.ndarray:
     return np.arange(len(texts.start)) - np.repeat(texts.bounds[:-1], texts.count)
 
 
+def _identities(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in rows:
+        body, offsets = kernel.utf8(batch["text"])
+        for a, b in kernel.chunks(offsets):
+            texts = kernel.Words(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            h1, h2 = (pa.array(kernel.signed(x)) for x in kernel.sequences(texts))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(texts.count.astype(np.int64)), h1, h2], ["doc_id", "n", "h1", "h2"])
+
+
 def _anchors(width: int):
     period, cover, length = cover_for(width)
     member = np.zeros(period, bool)
@@ -96,22 +106,43 @@ def _candidates(width: int):
 
 
 def removed_places(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """Rows (doc_id, places): the starts of windows of ``width`` words that also start earlier; and their number."""
+    """Rows (doc_id, places): the starts of windows of ``width`` words that also start earlier; and their number.
+
+    places is [-1] where all words go.
+    """
+    spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    run, schema = _anchors(width)
-    anchors = docs.mapInArrow(run, schema)
-    near = "partition by anchor order by doc_id, place"
-    repeated = anchors.selectExpr("doc_id", "place", f"lag(place) over ({near}) is not null or lead(place) over ({near}) is not null as again").where("again")
-    by_doc = cut(repeated.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-    rows = by_doc.count()
-    run, schema = _candidates(width)
-    seen = maybe_in(by_doc, "doc_id", rows)
-    found = docs.where(seen.test(F.col("doc_id"))).join(by_doc, "doc_id").mapInArrow(run, schema)
-    # the first start's row is the only one without a smaller (doc_id, place)
-    order = "partition by h1, h2 order by doc_id, place"
-    later = found.selectExpr("doc_id", "place", f"first_value(struct(doc_id, place)) over ({order} rows between unbounded preceding and current row) as first").where("first.doc_id <> doc_id or first.place <> place")
-    gone = cut(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    known = table(docs.mapInArrow(_identities, "doc_id long, n long, h1 long, h2 long").where(f"n >= {width}"))
+    first = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    copies = table(known.join(first, ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id").distinct())
+    maybe, rest = split_by(docs, copies, "doc_id", copies.count())
+    docs = rest.unionByName(maybe.join(copies, "doc_id", "left_anti"))
+    del known, first, maybe, rest
+    sweep(spark)
+
+    def repeats() -> DataFrame:
+        run, schema = _anchors(width)
+        near = "partition by anchor order by doc_id, place"
+        anchors = docs.mapInArrow(run, schema)
+        again = anchors.selectExpr("doc_id", "place", f"lag(place) over ({near}) is not null or lead(place) over ({near}) is not null as again").where("again")
+        return table(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+
+    by_doc = repeats()
+    sweep(spark)
+
+    def later() -> DataFrame:
+        run, schema = _candidates(width)
+        found = split_by(docs, by_doc, "doc_id", by_doc.count())[0].join(by_doc, "doc_id").mapInArrow(run, schema)
+        # the first start's row is the only one without a smaller (doc_id, place)
+        order = "partition by h1, h2 order by doc_id, place"
+        not_first = found.selectExpr("doc_id", "place", f"first_value(struct(doc_id, place)) over ({order} rows between unbounded preceding and current row) as first").where("first.doc_id <> doc_id or first.place <> place")
+        gone = not_first.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+        return table(gone.unionByName(copies.selectExpr("doc_id", "array(-1) as places")))
+
+    gone = later()
+    release(by_doc)
+    sweep(spark)
     return gone, gone.count()
 
 
@@ -126,10 +157,10 @@ def _clean(width: int, digest: bool, passed: list[str]):
             for a, b in kernel.chunks(offsets):
                 texts = kernel.Words(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = len(texts.start)
-                own = flat[cuts[a] : cuts[b]] + np.repeat(texts.bounds[:-1], np.diff(cuts[a : b + 1]))
+                own, owner = flat[cuts[a] : cuts[b]], np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
                 held = np.zeros(n + width + 1, np.int32)
-                np.add.at(held, own, 1)
-                np.add.at(held, own + width, -1)
+                np.add.at(held, texts.bounds[owner] + np.maximum(own, 0), 1)
+                np.add.at(held, np.where(own < 0, texts.bounds[owner + 1], texts.bounds[owner] + own + width), -1)
                 keep = np.cumsum(held)[:n] == 0
                 whole = texts.body.tobytes()
                 gone = texts.count - np.diff(np.concatenate([[0], np.cumsum(keep)])[texts.bounds])
@@ -167,14 +198,9 @@ _BLANK = bytes.maketrans(bytes([9, 10, 11, 12, 13]), b" " * 5)
 def _split(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` with the column places; only rows that may lose words are shuffled."""
     gone, rows = removed_places(docs, width)
-    places = "array<int>"
-    if not rows:
-        return docs.withColumn("places", F.lit(None).cast(places))
-    hit = maybe_in(gone, "doc_id", rows).test(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
-    marked = docs.withColumn("_hit", hit)
-    rest = marked.where("not _hit").drop("_hit").withColumn("places", F.lit(None).cast(places))
+    hit, rest = split_by(docs, gone, "doc_id", rows)
     own = gone.withColumnRenamed("doc_id", "_id")
-    return marked.where("_hit").drop("_hit").join(own, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id").unionByName(rest)
+    return hit.join(own, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id").unionByName(rest.withColumn("places", F.lit(None).cast("array<int>")))
 
 
 def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
