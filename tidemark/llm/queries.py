@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import digest, ngram, oracles, substring
+from tidemark.llm import digest, langid, ngram, oracles, repetition, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,38 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_table(spark, sf_dir, "documents"), width=20)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    return found.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.neighbour_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op8_document_fingerprints)}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": oracles.NGRAM, "op2_substring_dedup": oracles.SUBSTRING}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_substring_dedup,
+        op5_language_id,
+        op7_quality_rules,
+        op8_document_fingerprints,
+        op10_toxicity,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM,
+    "op2_substring_dedup": oracles.SUBSTRING,
+}
