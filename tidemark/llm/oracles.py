@@ -36,3 +36,27 @@ select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id
 from w left join sizes on sizes.doc_id = w.doc_id
 join (select doc_id, min(root) as component_id from reached group by doc_id) c on c.doc_id = w.doc_id
 """
+
+MIXING = r"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+sizes as (select source, sum(size)::bigint as source_size from sized group by source),
+ranked as (
+  select source, source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, 3.0::double * source_size as cap from sizes
+),
+levels as (
+  select *, cap / weight as ratio, row_number() over w as place,
+    (sum(source_size::double) over () - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (w rows between current row and unbounded following) as level
+  from ranked window w as (order by cap / weight, source nulls last)
+),
+plan as (
+  select source, source_size, least(cap, coalesce((select min_by(level, place) from levels where level <= ratio), (select max(ratio) from levels)) * weight) as target,
+    ('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 8))::bigint::double / 4294967296.0::double as start
+  from levels
+),
+drawn as (
+  select doc_id, size, source_size, target, start, case when source_size > 0 then target / source_size else 0 end as each_one,
+    row_number() over (partition by sized.source order by size, doc_id nulls first) - 1 as place
+  from sized join plan on sized.source is not distinct from plan.source
+)
+select doc_id, size, source_size, target, ((floor(start + (place + 1) * each_one) - floor(start + place * each_one)) * size)::bigint as taken from drawn
+"""

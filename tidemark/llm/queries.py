@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digest, langid, ngram, oracles, repetition, substring, toxicity
+from tidemark.llm import digest, langid, mixing, ngram, oracles, packing, repetition, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_table(spark, sf_dir, "documents"), width=20)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer of that name lies; the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
@@ -47,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join,
         op2_substring_dedup,
+        op3_source_mixing,
         op5_language_id,
+        op6_best_fit_packing,
         op7_quality_rules,
         op8_document_fingerprints,
         op10_toxicity,
@@ -56,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": oracles.NGRAM,
     "op2_substring_dedup": oracles.SUBSTRING,
+    "op3_source_mixing": oracles.MIXING,
 }
