@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import digest, langid, mixing, ngram, oracles, packing, repetition, substring, toxicity
+from tidemark.llm import digest, langid, licenses, mixing, ngram, oracles, packing, pages, repetition, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -63,10 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_jaccard_join,
         op2_substring_dedup,
         op3_source_mixing,
+        op4_html_extraction,
         op5_language_id,
         op6_best_fit_packing,
         op7_quality_rules,
         op8_document_fingerprints,
+        op9_license_scans,
         op10_toxicity,
     )
 }
