@@ -4,8 +4,13 @@ Method: the document by n-gram incidence matrix is multiplied with its transpose
 cut into column blocks; how many follows from the sizes: two sets of at most U n-grams that reach the threshold differ
 in at most D(U) of them, so of D(U) + 1 + spare blocks at least spare + 1 are equal, and pairs without an equal block
 are discarded unseen. For the rest, overlap counts are accumulated over both documents' sparse rows and pairs below the
-bound that their sizes give are discarded. Blocks of fewer than ``LEAST`` n-grams, which chance makes equal, are only
-used by documents with more such blocks than spare ones, so nothing is lost.
+bound that their sizes give are discarded.
+
+Frequent n-grams would make unlike documents share blocks. The n-grams of a text that fall into a crowded hash cell,
+counted over all texts, are therefore set aside as one block more, which the spare blocks pay for; the other blocks then
+hold an n-gram that few documents have. A document with more empty blocks than spare ones, since nearly all its n-grams
+are frequent, also takes part in a second cut of all its n-grams, with all others of its kind; there blocks of fewer
+than ``LEAST`` n-grams only count if more than the spare ones are so small. So nothing is lost.
 
 Equal sets are joined first, by hash, as one node. Then three rounds find the links that matter for the classes: each
 document with the smallest document that shares a block; the other smallest ones; and all pairs that share a block and
@@ -28,8 +33,10 @@ from tidemark.llm.spread import components, cut, release, split_by, sweep, table
 
 BITS = np.uint64(54)
 MASK = np.uint64((1 << 54) - 1)
-#: n-grams in a block that must be equal for the block to count as evidence.
+#: n-grams in a block of the second cut that must be equal for the block to count as evidence.
 LEAST = 3
+#: Hash cells in which n-grams are counted; crowded ones hold this many documents more than chance lets one expect.
+CELLS, CROWD, RANGES = 1 << 20, 64, 64
 #: Spare blocks for each block that the bound asks for.
 SPARE = 0.2
 ROWS = 1 << 9  # texts in a chunk; with 54 bits of hash they fit one sort key
@@ -135,36 +142,84 @@ def classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array(first), np.where(differ > 0, differ + 1 + spare, 0), spare
 
 
-def _blocks(n: int, percent: int):
+def _cells(n: int):
+    """Counts by cell over a part of the texts, as rows (range, counts)."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        count = np.zeros(CELLS, np.uint32)
+        for _, texts in _texts(rows):
+            count += np.bincount((sets(texts, n)[0] & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        if count.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([x.tobytes() for x in count.reshape(RANGES, -1)], pa.binary())], ["range", "counts"])
+
+    return run
+
+
+def _summed(group: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in group:
+        for at, counts in zip(batch["range"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            total[at] = total.get(at, 0) + np.frombuffer(counts, np.uint32).astype(np.uint64)
+    for at, counts in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["range", "counts"])
+
+
+def crowded(docs: DataFrame, n: int) -> np.ndarray:
+    """Which cells are crowded: more documents than the mean, six deviations of chance and CROWD allow."""
+    spark = docs.sparkSession
+    parts = docs.mapInArrow(_cells(n), "range int, counts binary").repartition(16, "range")
+    found = parts.mapInArrow(_summed, "range int, counts binary").toArrow()
+    count = np.zeros((RANGES, CELLS // RANGES))
+    for at, counts in zip(found["range"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        count[at] += np.frombuffer(counts, np.uint64)
+    count = count.ravel()
+    # the median, since frequent n-grams themselves raise the mean
+    usual = float(np.median(count))
+    sweep(spark)
+    return count > usual + 6 * np.sqrt(usual) + CROWD
+
+
+def _blocks(n: int, percent: int, frequent):
     """Rows (block hash, doc_id, n): each document's column blocks, for its own size class and the next."""
 
+    def cut_up(ids, sizes, grams, bounds, kind, count, need, cut_no, least):
+        """One cut of sorted ``grams``: rows to emit, and how many blocks of each document are too small."""
+        doc = np.repeat(np.arange(len(sizes)), np.diff(bounds))
+        weights = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(grams, 5), dtype=np.uint64)])
+        total = int(count.sum())
+        base = np.concatenate([[0], np.cumsum(count)])
+        used = count[doc] > 0
+        # hashes are sorted within a text, so blocks are runs
+        slot = base[doc[used]] + (((grams[used] >> np.uint64(22)) * count[doc[used]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        held = np.bincount(slot, minlength=total)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        ends = bounds[owner] + np.cumsum(held) - np.concatenate([[0], np.cumsum(held)])[base[owner]]
+        value = weights[ends] - weights[ends - held]
+        level = (kind[owner] * 2 + cut_no).astype(np.uint64) << np.uint64(32)
+        block = kernel.mix(value ^ kernel.mix(level | (np.arange(total) - base[owner]).astype(np.uint64), 6), 7)
+        low = held < least
+        lows = np.bincount(owner[low], minlength=len(sizes))
+        emit = ~low if cut_no == 0 else ~low | (lows > need)[owner]
+        return pa.RecordBatch.from_arrays([pa.array(kernel.signed(block[emit])), pa.array(ids[owner[emit]]), pa.array(sizes[owner[emit]].astype(np.int32))], ["block", "doc_id", "n"]), lows > need
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for ids, texts in _texts(rows):
             grams, bounds = sets(texts, n)
             sizes = np.diff(bounds)
             first, blocks, spare = classes(percent, 1 << int(max(4, sizes.max(initial=1))).bit_length())
             own = np.searchsorted(first, sizes, "right") - 1
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            weights = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(grams, 5), dtype=np.uint64)])
+            rare = ~frequent.value[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
+            rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
             for kind in (own, own + 1):
-                count = np.where(sizes > 0, blocks[np.maximum(kind, 0)], 0)
-                total = int(count.sum())
-                if not total:
+                at = np.maximum(kind, 0)
+                count = np.where(sizes > 0, blocks[at], 0)
+                if not count.any():
                     continue
-                base = np.concatenate([[0], np.cumsum(count)])
-                used = count[doc] > 0
-                # hashes are sorted within a text, so blocks are runs
-                slot = base[doc[used]] + (((grams[used] >> np.uint64(22)) * count[doc[used]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-                held = np.bincount(slot, minlength=total)
-                owner = np.repeat(np.arange(len(sizes)), count)
-                ends = bounds[owner] + np.cumsum(held) - np.concatenate([[0], np.cumsum(held)])[base[owner]]
-                value = weights[ends] - weights[ends - held]
-                level = kind[owner].astype(np.uint64) << np.uint64(32)
-                block = kernel.mix(value ^ kernel.mix(level | (np.arange(total) - base[owner]).astype(np.uint64), 6), 7)
-                low = held < LEAST
-                lows = np.bincount(owner[low], minlength=len(sizes))
-                emit = ~low | (lows > spare[np.maximum(kind, 0)])[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(block[emit])), pa.array(ids[owner[emit]]), pa.array(sizes[owner[emit]].astype(np.int32))], ["block", "doc_id", "n"])
+                batch, small = cut_up(ids, sizes, grams[rare], rare_bounds, kind, count, spare[at], 0, 1)
+                yield batch
+                again = np.where(small, count, 0)
+                if again.any():
+                    yield cut_up(ids, sizes, grams, bounds, kind, again, spare[at], 1, LEAST)[0]
 
     return run
 
@@ -256,8 +311,10 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     del same
     sweep(spark)
 
+    frequent = spark.sparkContext.broadcast(crowded(unlike, n))
+
     def blocks() -> DataFrame:
-        made = unlike.mapInArrow(_blocks(n, percent), "block long, doc_id long, n int")
+        made = unlike.mapInArrow(_blocks(n, percent, frequent), "block long, doc_id long, n int")
         order = "over (partition by block order by doc_id rows between unbounded preceding and current row)"
         return table(made.selectExpr("block", "doc_id as b", "n as nb", f"first_value(doc_id) {order} as a", f"first_value(n) {order} as na").where("a <> b"))
 

@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,10 +82,10 @@ class Bitmap:
     def test(self, column: Column) -> Column:
         words = self.words
 
-        @F.pandas_udf("boolean")
-        def hit(at: pd.Series) -> pd.Series:
-            a = at.to_numpy(np.int64)
-            return pd.Series((words.value[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1) == 1)
+        @F.arrow_udf("boolean")
+        def hit(at: pa.Array) -> pa.Array:
+            a = at.to_numpy(zero_copy_only=False).astype(np.int64)
+            return pa.array((words.value[a >> 5] >> (a & 31).astype(np.uint32)) & np.uint32(1) == 1)
 
         return hit(_bit(column, self.bits))
 
