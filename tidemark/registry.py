@@ -22,9 +22,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from tidemark.plans import line_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return {name: f for name, (f, _) in _found.items()}
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return {name: sql for name, (_, sql) in _found.items() if sql is not None}
