@@ -179,10 +179,15 @@ def fnv1a(c: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct runs of three tokens, joined by one space; none for fewer tokens."""
+    """Distinct runs of three tokens, joined by one space; none for fewer tokens.
+
+    Shifted copies of the tokens are zipped, so that they are made three times and not once for each run.
+    """
     t = tokens(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.array_join(F.slice(t, i, 3), " "))
-    return F.when(F.size(t) >= 3, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    rest = lambda k: F.slice(t, k, F.greatest(F.size(t), F.lit(1)))
+    glue = lambda a, b: F.concat(a, F.lit(" "), b)
+    runs = F.zip_with(F.zip_with(t, rest(2), glue), rest(3), glue)
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
 
 
 def sketch(hashes: Column, k: int = 96) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +14,7 @@ from tidemark.functions import text as X
 SKETCH, RECENT, RING, SIMILAR, LENGTHS = 96, 16, 32, 0.85, 0.80
 
 
-@F.pandas_udf("string")
-def fnv1a_long(texts: pd.Series) -> pd.Series:
+def fnv1a_long(texts: Column) -> Column:
     """FNV-1a of whole texts, in Arrow batches; ``functions.text.fnv1a`` is for short strings."""
 
     def one(text: str | None) -> str | None:
@@ -26,7 +25,10 @@ def fnv1a_long(texts: pd.Series) -> pd.Series:
             h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
         return f"{h:016x}"
 
-    return texts.map(one)
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(texts)
 
 
 def sketches(texts: DataFrame, key: str, text: str = "text", k: int = SKETCH) -> DataFrame:
