@@ -9,8 +9,8 @@ bound that their sizes give are discarded.
 Frequent n-grams would make unlike documents share blocks. The n-grams of a text that fall into a crowded hash cell,
 counted over all texts, are therefore set aside as one block more, which the spare blocks pay for; the other blocks then
 hold an n-gram that few documents have. A document with more empty blocks than spare ones, since nearly all its n-grams
-are frequent, also takes part in a second cut of all its n-grams, with all others of its kind; there blocks of fewer
-than ``LEAST`` n-grams only count if more than the spare ones are so small. So nothing is lost.
+are frequent, meets others of its kind by prefix: ordered with the rare n-grams first, two sets that reach the threshold
+share one of the first few of both, and what lies behind it bounds their overlap. So nothing is lost.
 
 Equal sets are joined first, by hash, as one node. Then three rounds find the links that matter for the classes: each
 document with the smallest document that shares a block; the other smallest ones; and all pairs that share a block and
@@ -33,8 +33,6 @@ from tidemark.llm.spread import components, cut, release, split_by, sweep, table
 
 BITS = np.uint64(54)
 MASK = np.uint64((1 << 54) - 1)
-#: n-grams in a block of the second cut that must be equal for the block to count as evidence.
-LEAST = 3
 #: Hash cells in which n-grams are counted; crowded ones hold this many documents more than chance lets one expect.
 CELLS, CROWD, RANGES = 1 << 20, 64, 64
 #: Spare blocks for each block that the bound asks for.
@@ -179,11 +177,20 @@ def crowded(docs: DataFrame, n: int) -> np.ndarray:
     return count > usual + 6 * np.sqrt(usual) + CROWD
 
 
+_BLOCK = "block long, doc_id long, n int, p int"
+
+
 def _blocks(n: int, percent: int, frequent):
-    """Rows (block hash, doc_id, n): each document's column blocks, for its own size class and the next."""
+    """Rows (block hash, doc_id, n, p): each document's column blocks, for its own size class and the next, or its prefix.
+
+    p is the n-gram's place in its document's order, 0 for a block.
+    """
+
+    def batch_of(block, ids, sizes, place):
+        return pa.RecordBatch.from_arrays([pa.array(kernel.signed(block)), pa.array(ids), pa.array(sizes.astype(np.int32)), pa.array(place.astype(np.int32))], ["block", "doc_id", "n", "p"])
 
-    def cut_up(ids, sizes, grams, bounds, kind, count, need, cut_no, least):
-        """One cut of sorted ``grams``: rows to emit, and how many blocks of each document are too small."""
+    def cut_up(ids, sizes, grams, bounds, kind, count):
+        """One class's cut of sorted ``grams``: rows to emit, and how many blocks of each document are empty."""
         doc = np.repeat(np.arange(len(sizes)), np.diff(bounds))
         weights = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(grams, 5), dtype=np.uint64)])
         total = int(count.sum())
@@ -195,12 +202,10 @@ def _blocks(n: int, percent: int, frequent):
         owner = np.repeat(np.arange(len(sizes)), count)
         ends = bounds[owner] + np.cumsum(held) - np.concatenate([[0], np.cumsum(held)])[base[owner]]
         value = weights[ends] - weights[ends - held]
-        level = (kind[owner] * 2 + cut_no).astype(np.uint64) << np.uint64(32)
+        level = kind[owner].astype(np.uint64) << np.uint64(32)
         block = kernel.mix(value ^ kernel.mix(level | (np.arange(total) - base[owner]).astype(np.uint64), 6), 7)
-        low = held < least
-        lows = np.bincount(owner[low], minlength=len(sizes))
-        emit = ~low if cut_no == 0 else ~low | (lows > need)[owner]
-        return pa.RecordBatch.from_arrays([pa.array(kernel.signed(block[emit])), pa.array(ids[owner[emit]]), pa.array(sizes[owner[emit]].astype(np.int32))], ["block", "doc_id", "n"]), lows > need
+        full, own = held > 0, owner[held > 0]
+        return batch_of(block[full], ids[own], sizes[own], np.zeros(len(own))), np.bincount(owner[~full], minlength=len(sizes))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for ids, texts in _texts(rows):
@@ -209,17 +214,22 @@ def _blocks(n: int, percent: int, frequent):
             first, blocks, spare = classes(percent, 1 << int(max(4, sizes.max(initial=1))).bit_length())
             own = np.searchsorted(first, sizes, "right") - 1
             rare = ~frequent.value[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
-            rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
+            run_of = np.concatenate([[0], np.cumsum(rare)])
+            rare_bounds = run_of[bounds]
+            poor = np.zeros(len(sizes), bool)
             for kind in (own, own + 1):
                 at = np.maximum(kind, 0)
                 count = np.where(sizes > 0, blocks[at], 0)
-                if not count.any():
-                    continue
-                batch, small = cut_up(ids, sizes, grams[rare], rare_bounds, kind, count, spare[at], 0, 1)
-                yield batch
-                again = np.where(small, count, 0)
-                if again.any():
-                    yield cut_up(ids, sizes, grams, bounds, kind, again, spare[at], 1, LEAST)[0]
+                if count.any():
+                    batch, empty = cut_up(ids, sizes, grams[rare], rare_bounds, kind, count)
+                    poor |= empty > spare[at]
+                    yield batch
+            if poor.any():
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                before = run_of[:-1] - rare_bounds[doc]  # rare n-grams of the document before this one
+                place = np.where(rare, before, (rare_bounds[1:] - rare_bounds[:-1])[doc] + np.arange(len(grams)) - bounds[doc] - before)
+                keep = poor[doc] & (place < (sizes - -(-sizes * percent // 100) + 1)[doc])
+                yield batch_of(kernel.mix(grams[keep], 11), ids[doc[keep]], sizes[doc[keep]], place[keep])
 
     return run
 
@@ -285,7 +295,8 @@ def _rooted(df: DataFrame, roots: DataFrame, *names: str) -> DataFrame:
 
 
 def _fits(percent: int) -> str:
-    return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    """The bounds from sizes: their ratio, and the overlap that is possible from the shared n-gram's places on."""
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)"
 
 
 def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -314,9 +325,9 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     frequent = spark.sparkContext.broadcast(crowded(unlike, n))
 
     def blocks() -> DataFrame:
-        made = unlike.mapInArrow(_blocks(n, percent, frequent), "block long, doc_id long, n int")
+        made = unlike.mapInArrow(_blocks(n, percent, frequent), _BLOCK)
         order = "over (partition by block order by doc_id rows between unbounded preceding and current row)"
-        return table(made.selectExpr("block", "doc_id as b", "n as nb", f"first_value(doc_id) {order} as a", f"first_value(n) {order} as na").where("a <> b"))
+        return table(made.selectExpr("block", "doc_id as b", "n as nb", "p as pb", f"first_value(doc_id) {order} as a", f"first_value(n) {order} as na", f"first_value(p) {order} as pa").where("a <> b"))
 
     shared = blocks()
     sweep(spark)
@@ -334,11 +345,11 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sweep(spark)
     # then all pairs across classes within the blocks whose documents are in several classes
     roots = components(links.unionByName(more))
-    inside = shared.select("block", "b", "nb").unionByName(shared.select("block", F.col("a").alias("b"), F.col("na").alias("nb")).distinct())
+    inside = shared.select("block", "b", "nb", "pb").unionByName(shared.select("block", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb")).distinct())
     inside = _rooted(inside, roots, "b")
     split = inside.groupBy("block").agg(F.min("root_b").alias("x"), F.max("root_b").alias("y")).where("x <> y").select("block")
     inside = table(inside.join(split, "block", "left_semi"))
-    left = inside.select("block", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root_b").alias("root_a"))
+    left = inside.select("block", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("pb").alias("pa"), F.col("root_b").alias("root_a"))
     across = left.join(inside, "block").where("a < b and root_a <> root_b").where(_fits(percent)).select("a", "b").distinct()
     unsure = _likely(across.join(stars, ["a", "b"], "left_anti"), found, percent)
     rest_rows = _sparse_rows(unlike, unsure, n)
