@@ -1,10 +1,10 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Method: rules are patterns over a text's words, in lower case and joined by one space. Each has a keyword; a rule looks at
-a text only if the text holds the keyword, and a text without any keyword is not looked at. Detections are spans of
-words. A span inside another one of a rule with more priority, or of the same priority and longer, is suppressed: its
-text is part of the larger finding. That is found by sorting a text's spans, not by comparing all with all. A row needs
-no other row, so nothing is shuffled.
+a text only if the text holds the keyword, and a text without any word that a use or a sentence needs is not looked at.
+Detections are spans of words. A span inside another one of a rule with more priority, or of the same priority and longer,
+is suppressed: its text is part of the larger finding. That is found by sorting a text's spans, not by comparing all with
+all. A row needs no other row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: Families: label, keyword, and how the name is written, as patterns over words.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat|mit x11)"),
+    ("mit", "mit", "mit(?: x11)?"),
+    ("mit", "expat", "expat"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? (?:v ?)?1 1"),
     ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? (?:v ?)?2(?: 0)?"),
     ("gpl-1.0", "gpl", "(?:gnu )?gpl(?: version)? (?:v ?)?1(?: 0)?"),
@@ -37,10 +38,12 @@ FAMILIES = (
     ("lgpl-3.0", "lesser general", "(?:gnu )?lesser general public(?: license)?(?: version)? (?:v ?)?3(?: 0)?"),
     ("agpl-3.0", "agpl", "(?:gnu )?agpl(?: version)? ?(?:v ?)?3(?: 0)?"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public(?: license)?(?: version)? (?:v ?)?3(?: 0)?"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "bsd", "(?:0bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)"),
     ("mpl-1.1", "mpl", "mpl(?: version)? (?:v ?)?1 1"),
     ("mpl-2.0", "mpl", "mpl(?: version)? (?:v ?)?2(?: 0)?"),
     ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? (?:v ?)?1 1"),
@@ -123,9 +126,14 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UP, _LOW), BREAK, " ")), F.lit(" "))
 
 
+#: Words that a use of a name needs; with the sentences' keywords, what a text must hold for a rule to find anything.
+USE_WORDS = ("licens", "licenc", "under", "subject to", "governed by", "covered by")
+
+
 def gate() -> str:
-    """A pattern that every text matches in which a rule finds something: one of the keywords."""
-    return "(?i)" + "|".join(k.replace(" ", BREAK) for k in sorted({rule[2] for rule in rules()}))
+    """A pattern that every text matches in which a rule finds something, read from the breaks between words on."""
+    words = sorted({*USE_WORDS, *(sentence[1] for sentence in SENTENCES)})
+    return f"(?i)(?:\\A|{BREAK[:-1]})(?:" + "|".join(w.replace(" ", BREAK) for w in words) + ")"
 
 
 #: The spans of a rule r in the column words: matches get marks around them, and words are numbered by splitting.
