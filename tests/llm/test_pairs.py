@@ -93,7 +93,7 @@ def test_substrings_leave_the_rest(spark):
     rows = [(1, f"Start here.\n{passage}\nend  of one", "x"), (2, f"Other\ttext\n\n{passage}\n\nfinal line", "y"), (3, None, None), (4, "short", "z"), (None, passage, "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, places string")
     got = {r.doc_id: (r.text, r.n_removed) for r in substring.dedup_substrings(docs, 50).collect()}
-    assert got[1] == (rows[0][1], 0) and got[3] == ("", 0) and got[4] == ("short", 0) and got[None] == (passage, 0)
+    assert got[1] == (rows[0][1], 0) and got[3] == (None, 0) and got[4] == ("short", 0) and got[None] == (passage, 0)
     assert got[2] == ("Other\ttext\n\nfinal line", 60)
     assert substring.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

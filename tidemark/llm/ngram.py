@@ -358,5 +358,5 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     out = cut(known.join(roots.withColumnRenamed("node", "rep"), "rep", "left").selectExpr("doc_id", "n as n_shingles", "coalesce(root, rep) as component_id", "n_copies"))
     release(found, known, copies, shared, stars, likely, rows, links, more, inside, unsure, rest_rows, last)
     sweep(spark)
-    unnamed = docs.where("doc_id is null").mapInArrow(_identities(n), _IDENTITY).selectExpr("doc_id", "n as n_shingles", "cast(null as long) as component_id", "1L as n_copies")
+    unnamed = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_identities(n), _IDENTITY).selectExpr("cast(null as long) as doc_id", "n as n_shingles", "cast(null as long) as component_id", "1L as n_copies")
     return out.unionByName(unnamed)
