@@ -192,7 +192,7 @@ def trigrams(text: Column) -> Column:
 
 def sketch(hashes: Column, k: int = 96) -> Column:
     """The k smallest distinct hashes."""
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -31,7 +31,7 @@ def ordered_distinct(rows: DataFrame, key: str, value: str, order: str, most: in
     """
     first = rows.groupBy(key, value).agg(F.min(order).alias("_o"))
     ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_o", value))).where(F.col("_r") <= most)
-    kept = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", value))).alias("_x"))
+    kept = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_r", value))).alias("_x"))
     return kept.select(key, F.transform("_x", lambda x: x[value]).alias("values"))
 
 

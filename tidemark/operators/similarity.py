@@ -32,8 +32,11 @@ def fnv1a_long(texts: Column) -> Column:
 
 
 def sketches(texts: DataFrame, key: str, text: str = "text", k: int = SKETCH) -> DataFrame:
-    """(key, sketch): the k smallest hashes of a text's trigrams."""
-    return texts.select(key, X.sketch(F.transform(X.trigrams(F.col(text)), F.md5), k).alias("sketch"))
+    """(key, sketch): the k smallest hashes of a text's trigrams.
+
+    The generator of one row keeps the optimizer from copying the expression to wherever the sketch is used.
+    """
+    return texts.select(key, F.explode(F.array(X.sketch(F.transform(X.trigrams(F.col(text)), F.md5), k))).alias("sketch"))
 
 
 def similar_pairs(sketched: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
@@ -69,7 +72,7 @@ def similar_repeats(calls: DataFrame, session: str, order: str, text: str, windo
     Lengths differ by a fifth at most; output has six lines or more.
     """
     numbered = calls.withColumn("_i", F.row_number().over(Window.partitionBy(session).orderBy(order)))
-    rows = numbered.select(session, order, "_i", F.octet_length(text).alias("_n"), F.size(X.lines(F.col(text))).alias("_l"), X.sketch(F.transform(X.trigrams(F.col(text)), F.md5), SKETCH).alias("_s"))
+    rows = numbered.select(session, order, "_i", F.octet_length(text).alias("_n"), F.size(X.lines(F.col(text))).alias("_l"), F.explode(F.array(X.sketch(F.transform(X.trigrams(F.col(text)), F.md5), SKETCH))).alias("_s"))
     old = rows.select(F.col(session).alias("_session"), F.col(order).alias("ref"), F.col("_i").alias("_j"), F.col("_n").alias("_m"), F.col("_s").alias("_t"))
     # the calls before lie in this bucket of positions or in the one before
     new = rows.where(F.col("_l") >= 6).withColumn("_b", F.explode(F.expr(f"array((_i - 1) div {window}, (_i - 1) div {window} - 1)")))

@@ -154,7 +154,7 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     The lists that the percentiles are read from hold one number for each scenario.
     """
     n = F.count(F.lit(1))
-    ranked = F.array_sort(F.collect_list("before_tk"))
+    ranked = F.sort_array(F.collect_list("before_tk"))
     sums = scenarios(spark, sf_dir).rollup("lang").agg(
         F.sum("before_tk").alias("before_tk"), F.sum("after_tk").alias("after_tk"), F.round((F.sum("before_tk") - F.sum("after_tk")) * 100.0 / F.sum("before_tk"), 4).alias("reduction_pct"),
         F.element_at(ranked, (F.floor(n / 2) + 1).cast("int")).alias("median_tk"), F.element_at(ranked, (F.floor(n * F.lit(0.95)) + 1).cast("int")).alias("p95_tk"),

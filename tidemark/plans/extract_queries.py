@@ -40,7 +40,7 @@ _OUTPUT = f"select k, string_agg(line, chr(10) order by n) as text from ({event_
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, text): each session's output. A session's lines are one text, as its command printed them."""
-    lines = event_lines(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+    lines = event_lines(spark, sf_dir).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
     return lines.select("k", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
 
 
@@ -180,7 +180,7 @@ from ({_SHORT}) left join ({_TERMS}) using (k) group by k
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a session's signal terms when every third line is dropped."""
     lines = event_lines(spark, sf_dir)
-    kept = lines.where("n % 3 <> 0").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+    kept = lines.where("n % 3 <> 0").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
     kept = kept.select("k", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
     return extract.quality(extract.signal_terms(lines, "k"), kept, "k", "text")
 
