@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -24,12 +24,12 @@ def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        m = max(n, CHUNK + 1024)
+        m = 1 << max(n - 1, 1 << 12).bit_length()
         up = np.full(m, base, np.uint64)
         down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if m <= 4 * CHUNK:
+        if m <= 2 * CHUNK:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
