@@ -8,8 +8,8 @@ difference of both classes' log-likelihoods, the share that words beyond ``STRON
 runs of ``RUNS`` words, and its largest word. A
 logistic curve over them, fitted on training rows that were not counted, gives the score.
 
-Counts cover all training rows. They are kept in ``CELLS`` hashed cells, so that what is sent to the executors has a
-fixed size (8 MB).
+Counts cover folds 1 to 3 of the training rows. They are kept by 64-bit keys in a sorted table that has as many as there
+are events and contexts, and is sent to the executors.
 """
 
 from __future__ import annotations
@@ -26,97 +26,139 @@ from tidemark.llm import kernel
 from tidemark.llm.langid import _LETTER
 from tidemark.llm.spread import release, split_by, table
 
-DEPTH, DISCOUNT, CELLS, RUNS, STRONG = 8, (1.0, 1.3, 1.5), 1 << 20, (12, 50, 200), 2.0
+DEPTH, DISCOUNT, RUNS, STRONG = 8, (1.0, 1.3, 1.5), (12, 50, 200), 2.0
+#: What stands for a word's start and end.
+_EDGE = 32
 _SPACE = np.zeros(256, bool)
-_SPACE[32] = True
+_SPACE[_EDGE] = True
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(DEPTH + 1)], np.uint64)
 #: Rows of the logistic fit: a bounded sample, by hash of their ids.
 FIT_ROWS = 20_000
+#: Events of a task that makes ratios of them.
+_EVENTS = 500_000
 
 
-def spelled(body: np.ndarray, offsets: np.ndarray) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
-    """Words of lower-cased letters, and per distinct word its cells by depth (-1 beyond its end) and its number."""
-    texts = kernel.Words(_LETTER[body], offsets, sep=_SPACE)
-    ids = texts.ids()
-    _, first, number = np.unique(ids, return_index=True, return_inverse=True)
-    start, size = texts.start[first], texts.end[first] - texts.start[first]
-    cells = np.full((len(first), DEPTH), -1, np.int64)
-    state = np.zeros(len(first), np.uint64)
-    padded = np.concatenate([texts.body, np.zeros(DEPTH + 1, np.uint8)])
-    for d in range(DEPTH):
-        on = size >= d  # at its end a word has one more event
-        byte = np.where(size == d, 0, padded[start + d]).astype(np.uint64)
-        state = kernel.mix(state * np.uint64(257) + byte, d)
-        cells[on, d] = (state[on] & np.uint64(CELLS - 1)).astype(np.int64)
-    return texts, cells, number
+class Spelled:
+    """Words of lower-cased letters: each one's number among the distinct ones, and these ones' events, word by word.
+
+    An event is a byte (or the end) and its context, up to DEPTH bytes packed with the last one lowest; a word's start
+    is a byte of the context too. ``begin`` has the first event of each distinct word.
+    """
+
+    def __init__(self, body: np.ndarray, offsets: np.ndarray):
+        self.texts = texts = kernel.Words(_LETTER[body], offsets, sep=_SPACE)
+        _, first, self.number = np.unique(texts.ids(), return_index=True, return_inverse=True)
+        start, size = texts.start[first], texts.end[first] - texts.start[first]
+        self.size = np.minimum(size, DEPTH - 1)
+        self.begin = np.concatenate([[0], np.cumsum(self.size + 1)])
+        self.place = np.arange(self.begin[-1]) - np.repeat(self.begin[:-1], self.size + 1)
+        at = np.repeat(start, self.size + 1) + self.place
+        padded = np.append(texts.body, np.uint8(_EDGE))
+        self.byte = np.where(self.place == np.repeat(size, self.size + 1), _EDGE, padded[at]).astype(np.uint64)
+        self.context = np.zeros(len(at), np.uint64)
+        for k in range(1, DEPTH + 1):
+            before = np.where(self.place >= k, padded[np.maximum(at - k, 0)], np.where(self.place == k - 1, _EDGE, 0))
+            self.context |= before.astype(np.uint64) << np.uint64(8 * (k - 1))
+
+
+def keyed(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """64 bits for an event; byte 0 for what a context leaves to bytes unseen after it."""
+    return kernel.mix(kernel.mix(context, 1) + byte.astype(np.uint64), 2)
 
 
 def _events(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Counted events of a part of the training rows: cell, the prefix's cell, last byte's cell, and both classes' counts."""
-    held: dict[int, np.ndarray] = {}
-    keys, tallies = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-
-    def merged(a_keys, a, b_keys, b):
-        every = np.concatenate([a_keys, b_keys])
-        found, at = np.unique(every, return_inverse=True)
-        out = np.zeros((len(found), 2), np.int64)
-        np.add.at(out, at, np.concatenate([a, b]))
-        return found, out
-
-    del held
+    """Counted events of a part of the training rows: context, byte, and both classes' counts."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = merged = 0
+
+    def merge() -> None:
+        context, byte, tally = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first, at = np.unique(keyed(context, byte), return_index=True, return_inverse=True)
+        both = np.stack([np.bincount(at, weights=tally[:, k], minlength=len(first)) for k in (0, 1)], axis=1).astype(np.int64)
+        held[:] = [(context[first], byte[first], both)]
+
     for batch in rows:
         body, offsets = kernel.utf8(batch["text"])
         label = np.asarray(batch["toxic"]).astype(np.int64)
         for a, b in kernel.chunks(offsets):
-            texts, cells, number = spelled(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if not len(number):
+            words = Spelled(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            if not len(words.number):
                 continue
-            tally = np.stack([np.bincount(number[label[a:b][texts.text_of()] == k], minlength=len(cells)) for k in (0, 1)], axis=1)
-            parent = np.concatenate([np.full((len(cells), 1), CELLS, np.int64), cells[:, :-1]], axis=1)
-            on = cells >= 0
-            key = (parent * (CELLS + 1) + cells)[on]
-            keys, tallies = merged(keys, tallies, key, np.repeat(tally, on.sum(axis=1), axis=0))
-    if len(keys):
-        yield pa.RecordBatch.from_arrays([pa.array((keys % (CELLS + 1)).astype(np.int32)), pa.array((keys // (CELLS + 1)).astype(np.int32)), pa.array(tallies[:, 0]), pa.array(tallies[:, 1])], ["cell", "prefix", "c0", "c1"])
+            of = label[a:b][words.texts.text_of()]
+            tally = np.stack([np.bincount(words.number[of == k], minlength=len(words.size)) for k in (0, 1)], axis=1)
+            held.append((words.context, words.byte.astype(np.uint8), np.repeat(tally, words.size + 1, axis=0)))
+            size += len(words.context)
+            if size > 2 * merged + (1 << 20):
+                merge()
+                size = merged = len(held[0][0])
+    if held:
+        merge()
+        context, byte, tally = held[0]
+        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(context)), pa.array(byte.astype(np.int16)), pa.array(tally[:, 0]), pa.array(tally[:, 1])], ["context", "byte", "c0", "c1"])
 
 
 class Model:
-    """ratio: log-likelihood ratio of the event in each cell, were it seen; open: of an event unseen after the cell's prefix."""
-
-    def __init__(self, ratio: np.ndarray, unseen: np.ndarray, seen: np.ndarray, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.ratio, self.unseen, self.seen, self.weights, self.mean, self.scale = ratio, unseen, seen, weights, mean, scale
+    """Log-likelihood ratios by 64-bit key, in order of the keys, found from their leading bits on."""
+
+    def __init__(self, keys: np.ndarray, ratio: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratio = np.append(keys[order], np.uint64(2**64 - 1)), np.append(ratio[order], np.float32(0)).astype(np.float32)
+        self.shift = 64 - max(len(keys).bit_length(), 1)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << (64 - self.shift), dtype=np.uint64) << np.uint64(self.shift)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.weights = self.mean = np.zeros(0)
+        self.scale = np.ones(0)
+
+    def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratio of each key, 0 where it is missing, and whether it is there."""
+        at = self.first[(key >> np.uint64(self.shift)).astype(np.int64)].astype(np.int64)
+        late = np.flatnonzero(self.keys[at] < key)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys[at[late]] < key[late]]
+        hit = self.keys[at] == key
+        return np.where(hit, self.ratio[at], 0), hit
+
+    def words(self, words: Spelled) -> np.ndarray:
+        """The ratio of each event: the longest known context's, and what longer ones leave to unseen bytes."""
+        out = np.zeros(len(words.byte))
+        at = np.arange(len(out))
+        length = np.minimum(words.place + 1, DEPTH)
+        context, byte = words.context, words.byte
+        while len(at):
+            ratio, hit = self.look(keyed(context, byte))
+            out[at] += ratio
+            at, length, context, byte = at[~hit], length[~hit], context[~hit], byte[~hit]
+            out[at] += self.look(keyed(context, np.zeros_like(byte)))[0]
+            more = length > 0
+            at, length, context, byte = at[more], length[more] - 1, context[more], byte[more]
+            context = context & _MASKS[length]
+        return out
 
     def features(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        texts, cells, number = spelled(body, offsets)
+        words = Spelled(body, offsets)
+        texts, number = words.texts, words.number
         rows = len(offsets) - 1
-        word = np.zeros(len(cells), np.float64)
-        known = np.ones(len(cells), bool)
-        prefix = np.full(len(cells), CELLS, np.int64)
-        for d in range(DEPTH):
-            on = known & (cells[:, d] >= 0)
-            cell = np.where(on, cells[:, d], 0)
-            hit = on & self.seen[cell]
-            word += np.where(hit, self.ratio[cell], np.where(on, self.unseen[prefix], 0))
-            known = hit
-            prefix = np.where(hit, cells[:, d], prefix)
-        each = np.clip(word, -12, 12)[number] if len(number) else np.zeros(0)
+        value = np.add.reduceat(self.words(words), words.begin[:-1]) if len(words.size) else np.zeros(0)
+        each = np.clip(value, -12, 12)[number] if len(number) else np.zeros(0)
+        bounds, count, owner = texts.bounds, texts.count, texts.text_of()
         run = np.concatenate([[0.0], np.cumsum(each)])
-        lo, hi = texts.bounds[:-1], texts.bounds[1:]
+        lo, hi = bounds[:-1], bounds[1:]
         out = [(run[hi] - run[lo]) / np.maximum(hi - lo, 1)]
-        place = np.arange(len(each)) - np.repeat(lo, texts.count)
+        place = np.arange(len(each)) - np.repeat(lo, count)
         for width in RUNS:
             # runs end inside the text; the first ones are shorter and count as if filled up with neutral words
             begin = np.arange(len(each)) - np.minimum(place, width - 1)
             best = np.zeros(rows)
             if len(each):
-                np.maximum.at(best, texts.text_of(), (run[1:] - run[begin]) / width)
+                np.maximum.at(best, owner, (run[1:] - run[begin]) / width)
             out.append(best)
         strong = np.concatenate([[0.0], np.cumsum(np.maximum(each - STRONG, 0))])
         out.append((strong[hi] - strong[lo]) / (hi - lo + 30))
         top = np.zeros(rows)
         if len(each):
-            np.maximum.at(top, texts.text_of(), each)
+            np.maximum.at(top, owner, each)
         out.append(top)
-        out.append(np.where(texts.count > 0, 1.0, 0.0))
+        out.append(np.where(count > 0, 1.0, 0.0))
         return np.stack(out, axis=1)
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -143,30 +185,43 @@ def _discount(c: np.ndarray) -> np.ndarray:
     return np.where(c <= 0, 0.0, np.where(c == 1, DISCOUNT[0], np.where(c == 2, DISCOUNT[1], DISCOUNT[2])))
 
 
-def _model(cells: pa.Table, prefixes: pa.Table) -> Model:
-    """From counts by cell (its commonest prefix with them) and, by prefix, counts and what discounts free of them."""
-    c = np.zeros((CELLS + 1, 2))
-    at = cells["cell"].to_numpy()
-    c[at] = np.stack([cells["c0"].to_numpy(), cells["c1"].to_numpy()], axis=1)
-    before = np.full(CELLS + 1, CELLS)
-    before[at] = cells["prefix"].to_numpy()
-    total, freed, pooled = np.zeros((CELLS + 1, 2)), np.ones((CELLS + 1, 2)), np.ones(CELLS + 1)
-    by = prefixes["prefix"].to_numpy()
-    total[by] = np.stack([prefixes["c0"].to_numpy(), prefixes["c1"].to_numpy()], axis=1)
-    pool = total.sum(axis=1)
+def _shares(group: np.ndarray, groups: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By event (its context's number, counts by class): what discounts leave of its share; by context: what they free."""
+    kept, freed = np.zeros(n.shape), np.ones((groups, 2))
     for k in (0, 1):
-        on = total[by, k] > 0
-        freed[by[on], k] = prefixes[f"d{k}"].to_numpy()[on] / total[by[on], k]
-    pooled[by] = prefixes["d"].to_numpy() / np.maximum(pool[by], 1)
-    floor = 1 / 256  # what a byte gets when even the shared counts don't know it
-    both = c.sum(axis=1)
-    shared = (both - _discount(both)) / np.maximum(pool[before], 1) + pooled[before] * floor
-    p = (c - _discount(c)) / np.maximum(total[before], 1) + freed[before] * shared[:, None]
-    seen = c.sum(axis=1) > 0
-    ratio = np.where(seen, np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12)), 0)
-    unseen = np.log(np.maximum(freed[:, 1], 1e-9)) - np.log(np.maximum(freed[:, 0], 1e-9))
-    unseen[pool == 0] = 0
-    return Model(ratio.astype(np.float32), unseen.astype(np.float32), seen, np.zeros(0), np.zeros(0), np.ones(0))
+        total = np.bincount(group, weights=n[:, k], minlength=groups)
+        off = _discount(n[:, k])
+        on = total > 0
+        freed[on, k] = np.bincount(group, weights=off, minlength=groups)[on] / total[on]
+        kept[:, k] = (n[:, k] - off) / np.maximum(total[group], 1)
+    return kept, freed
+
+
+def _log_ratio(p: np.ndarray) -> np.ndarray:
+    return (np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))).astype(np.float32)
+
+
+def _ratios(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Keys and ratios of events and of what their contexts leave to bytes unseen; a context's events come together."""
+    held = [b for b in rows if b.num_rows]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held)
+    context, byte = whole["context"].to_numpy().view(np.uint64), whole["byte"].to_numpy().astype(np.uint64)
+    n = np.stack([whole["c0"].to_numpy(), whole["c1"].to_numpy()], axis=1).astype(float)
+    each, group = np.unique(context, return_inverse=True)
+    kept, freed = _shares(group, len(each), np.repeat(n.sum(axis=1, keepdims=True), 2, axis=1))
+    shared = kept + freed[group] / 256  # what a byte gets when even the shared counts don't know it
+    kept, freed = _shares(group, len(each), n)
+    for key, ratio in ((keyed(context, byte), _log_ratio(kept + freed[group] * shared)), (keyed(each, np.zeros_like(each)), _log_ratio(freed))):
+        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(ratio)], ["key", "ratio"])
+
+
+def _model(events: DataFrame) -> Model:
+    """From counts by context and byte; the table has as many keys as the training rows have events and contexts."""
+    parts = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // _EVENTS))
+    found = events.repartition(parts, "context").mapInArrow(_ratios, "key long, ratio float").toArrow()
+    return Model(found["key"].to_numpy().view(np.uint64), found["ratio"].to_numpy())
 
 
 def fold(name: str = "doc_id"):
@@ -196,14 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = table(marks)
     maybe, _ = split_by(docs.where("text is not null and doc_id is not null").select("doc_id", "text"), marks, "doc_id", marks.count())
     known = table(maybe.join(marks, "doc_id").select("doc_id", "text", "toxic"))
-    events = table(known.where(fold() < 4).select("text", "toxic").mapInArrow(_events, "cell int, prefix int, c0 long, c1 long").groupBy("cell", "prefix").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    cells = events.groupBy("cell").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.max_by("prefix", F.struct(F.col("c0") + F.col("c1"), "prefix")).alias("prefix")).toArrow()
-
-    def freed(c: str) -> str:
-        return f"sum(case when {c} <= 0 then 0D when {c} = 1 then {DISCOUNT[0]}D when {c} = 2 then {DISCOUNT[1]}D else {DISCOUNT[2]}D end)"
-
-    prefixes = events.groupBy("prefix").agg(F.expr(freed("c0")).alias("d0"), F.expr(freed("c1")).alias("d1"), F.expr(freed("c0 + c1")).alias("d"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
-    model = _model(cells, prefixes)
+    events = table(known.where(fold() < 4).select("text", "toxic").mapInArrow(_events, "context long, byte short, c0 long, c1 long").groupBy("context", "byte").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    model = _model(events)
     rows = known.where(fold() == 4).withColumn("h", F.xxhash64("doc_id"))
     n = rows.count()
     rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(n, 1))))
