@@ -36,3 +36,14 @@ def test_table_grows_and_events_do_not_meet(spark):
     counted = {x.doc_id for x in spark.range(1200).select(toxicity.F.col("id").alias("doc_id")).where(toxicity.fold().between(1, 3)).collect()}
     assert all(last_known(model, [rows[i][1].split()[-1] for i in counted]))
     assert not any(last_known(model, [word() for _ in range(2000)]))
+
+
+def test_bytes_beyond_the_first_eight(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = ["abcdefgh" + r.choice(["one", "two", "three", "four"]) for _ in range(40)]
+        if i % 4 == 0:
+            words[r.randrange(40)] = "abcdefghzzz"
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    assert min(right(rows, fitted(spark, rows)[1])) > 0.95

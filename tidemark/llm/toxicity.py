@@ -1,6 +1,6 @@
 """Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
 
-Method: a word is spelled from its start; an event is the next byte after a prefix of up to ``DEPTH`` bytes. Each class
+Method: an event is the next byte of a word (or its end) after the last ``DEPTH`` bytes at most, all along the word. Each class
 has its own counts of events, discounted by ``DISCOUNT`` (by how often they were seen: once, twice, more); what the discount frees goes to one shared distribution: the
 counts of both classes together, which back off to how many different prefixes a byte follows. An expression that
 neither class knows thus adds nothing, and a rare one little. A text's features are the mean over its words of the
@@ -27,8 +27,8 @@ from tidemark.llm.langid import _LETTER
 from tidemark.llm.spread import release, split_by, table
 
 DEPTH, DISCOUNT, RUNS, STRONG = 8, (1.0, 1.3, 1.5), (12, 50, 200), 2.0
-#: What stands for a word's start and end.
-_EDGE = 32
+#: What stands for a word's start and end; longer words are so many bytes a piece where features are gathered.
+_EDGE, PIECE = 32, 24
 _SPACE = np.zeros(256, bool)
 _SPACE[_EDGE] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(DEPTH + 1)], np.uint64)
@@ -48,13 +48,12 @@ class Spelled:
     def __init__(self, body: np.ndarray, offsets: np.ndarray):
         self.texts = texts = kernel.Words(_LETTER[body], offsets, sep=_SPACE)
         _, first, self.number = np.unique(texts.ids(), return_index=True, return_inverse=True)
-        start, size = texts.start[first], texts.end[first] - texts.start[first]
-        self.size = np.minimum(size, DEPTH - 1)
+        start, self.size = texts.start[first], texts.end[first] - texts.start[first]
         self.begin = np.concatenate([[0], np.cumsum(self.size + 1)])
         self.place = np.arange(self.begin[-1]) - np.repeat(self.begin[:-1], self.size + 1)
         at = np.repeat(start, self.size + 1) + self.place
         padded = np.append(texts.body, np.uint8(_EDGE))
-        self.byte = np.where(self.place == np.repeat(size, self.size + 1), _EDGE, padded[at]).astype(np.uint64)
+        self.byte = np.where(self.place == np.repeat(self.size, self.size + 1), _EDGE, padded[at]).astype(np.uint64)
         self.context = np.zeros(len(at), np.uint64)
         for k in range(1, DEPTH + 1):
             before = np.where(self.place >= k, padded[np.maximum(at - k, 0)], np.where(self.place == k - 1, _EDGE, 0))
@@ -138,9 +137,17 @@ class Model:
         words = Spelled(body, offsets)
         texts, number = words.texts, words.number
         rows = len(offsets) - 1
-        value = np.add.reduceat(self.words(words), words.begin[:-1]) if len(words.size) else np.zeros(0)
-        each = np.clip(value, -12, 12)[number] if len(number) else np.zeros(0)
-        bounds, count, owner = texts.bounds, texts.count, texts.text_of()
+        # words in pieces: contexts reach over their bounds, and a word's end belongs to its last one
+        pieces = -(-words.size // PIECE)
+        head = np.flatnonzero((words.place % PIECE == 0) & (words.place < np.repeat(words.size, words.size + 1)))
+        value = np.add.reduceat(self.words(words), head) if len(head) else np.zeros(0)
+        before = np.concatenate([[0], np.cumsum(pieces)])
+        many = pieces[number]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        each = np.clip(value, -12, 12)[np.repeat(before[number] - upto[:-1], many) + np.arange(upto[-1])] if len(number) else np.zeros(0)
+        bounds = upto[texts.bounds]
+        count = np.diff(bounds)
+        owner = np.repeat(np.arange(rows), count)
         run = np.concatenate([[0.0], np.cumsum(each)])
         lo, hi = bounds[:-1], bounds[1:]
         out = [(run[hi] - run[lo]) / np.maximum(hi - lo, 1)]
