@@ -47,3 +47,73 @@ def test_bytes_beyond_the_first_eight(spark):
             words[r.randrange(40)] = "abcdefghzzz"
         rows.append((i, " ".join(words), int(i % 4 == 0)))
     assert min(right(rows, fitted(spark, rows)[1])) > 0.95
+
+
+def test_text_without_spaces(spark):
+    r = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    rows = []
+    for i in range(300):
+        text = r.choices(signs, k=300)
+        if i % 4 == 0:
+            at = 100 + r.randrange(100)
+            text[at : at + 4] = "龍龜龠龢"
+        rows.append((i, "".join(text), int(i % 4 == 0)))
+    assert min(right(rows, fitted(spark, rows)[1])) > 0.95
+
+
+def brute(counted):
+    """By class: the Kneser-Ney probability of a byte after a context, from (word, class) pairs."""
+    depth, floor = toxicity.DEPTH, 1 / 256
+    off = lambda c: 0 if c <= 0 else toxicity.DISCOUNT[min(c, 3) - 1]
+    counts = [{}, {}]
+    for word, k in counted:
+        s = b" " + word + b" "
+        for j in range(1, len(s)):
+            e = s[max(0, j - depth) : j], s[j]
+            counts[k][e] = counts[k].get(e, 0) + 1
+    for n in range(depth - 1, -1, -1):
+        for own in counts:
+            left = {(c[1:], x) for c, x in own if len(c) == n + 1}
+            before = {e: sum((bytes([b]) + e[0], e[1]) in own for b in range(256)) for e in left}
+            own.update(before)
+    pooled = {e: sum((bytes([b]), e[1]) in counts[0] or (bytes([b]), e[1]) in counts[1] for b in range(256)) for e in {e for own in counts for e in own if e[0] == b""}}
+
+    def share(own, c, x, lower):
+        after = {e: n for e, n in own.items() if e[0] == c}
+        total = sum(after.values())
+        if not total:
+            return lower
+        n = own.get((c, x), 0)
+        return (n - off(n)) / total + sum(map(off, after.values())) / total * lower
+
+    def p(k, c, x):
+        return share(counts[k], c, x, p(k, c[1:], x) if c else share(pooled, b"", x, floor))
+
+    return p
+
+
+def test_kneser_ney_of_all_orders(spark):
+    r = random.Random(6)
+    words = [("".join(r.choices("abé", k=r.randrange(1, 13))).encode(), int(r.random() < 0.3)) for _ in range(150)]
+    text = {k: b" ".join(w for w, c in words if c == k).decode() for k in (0, 1)}
+    events = spark.createDataFrame([(text[k], k) for k in (0, 1)], "text string, toxic int").mapInArrow(toxicity._events, "context long, byte short, c0 long, c1 long")
+    model = toxicity._model(events.groupBy("context", "byte").agg({"c0": "sum", "c1": "sum"}).toDF("context", "byte", "c0", "c1"))
+    p = brute(words)
+    asked = [w for w, _ in words[:8]] + [b"abab", b"qa", b"bbbbbbbbbbbbbbbb", "ééé".encode(), b"aqb"]
+    got = toxicity.Spelled(np.frombuffer(b" ".join(asked), np.uint8), np.array([0, len(b" ".join(asked))]))
+    ratios, sums = model.words(got), []
+    for i in range(len(got.size)):
+        sums.append(ratios[got.begin[i] : got.begin[i + 1]].sum())
+    for i, w in enumerate(asked):
+        s = b" " + w + b" "
+        want = sum(np.log(p(1, s[max(0, j - toxicity.DEPTH) : j], s[j]) / p(0, s[max(0, j - toxicity.DEPTH) : j], s[j])) for j in range(1, len(s)))
+        assert abs(sums[got.number[i]] - want) < 1e-4
+
+
+def test_rows_that_the_curve_leaves_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
+    rows = [(i, f"plain words here {'grulp' if i % 4 == 0 else 'calm'} n{''.join(chr(97 + int(d)) for d in str(i))}n", int(i % 4 == 0)) for i in range(400)]
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", toxicity.fold().alias("fold")).where("fold = 4").collect()
+    model, _ = fitted(spark, rows)
+    assert sum(last_known(model, [rows[x.doc_id][1].split()[-1] for x in ids])) >= len(ids) - 35

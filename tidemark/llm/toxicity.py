@@ -1,15 +1,17 @@
 """Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
 
-Method: an event is the next byte of a word (or its end) after the last ``DEPTH`` bytes at most, all along the word. Each class
-has its own counts of events, discounted by ``DISCOUNT`` (by how often they were seen: once, twice, more); what the discount frees goes to one shared distribution: the
-counts of both classes together, which back off to how many different prefixes a byte follows. An expression that
-neither class knows thus adds nothing, and a rare one little. A text's features are the mean over its words of the
-difference of both classes' log-likelihoods, the share that words beyond ``STRONG`` have in it, the largest means over
-runs of ``RUNS`` words, and its largest word. A
-logistic curve over them, fitted on training rows that were not counted, gives the score.
-
-Counts cover folds 1 to 3 of the training rows. They are kept by 64-bit keys in a sorted table that has as many as there
-are events and contexts, and is sent to the executors.
+Method: an event is the next byte of a word (or its end) after the last ``DEPTH`` bytes at most, all along the word. Each
+class has its own counts of events, discounted by ``DISCOUNT`` (by how often they were seen: once, twice, more); what the
+discount frees goes to the class's next shorter context, whose counts are of the different bytes seen before it (contexts
+from a word's start have none and keep plain counts). Without any context both classes lean on one shared distribution:
+how many contexts a byte follows in either class, and 1/256. A text's features are the mean over its words (longer ones in
+pieces of ``PIECE`` bytes) of the difference of both classes' log-likelihoods, the share that words beyond ``STRONG`` have
+in it, the largest means over runs of ``RUNS`` words, and its largest word. A logistic curve over them, fitted on training
+rows that were not counted, gives the score.
+
+Counts cover all training rows but the at most ``FIT_ROWS`` of the curve. They are kept by 64-bit keys in a sorted table
+that has as many as there are events and contexts of all lengths, and is sent to the executors: it grows with the
+vocabulary of the training rows.
 """
 
 from __future__ import annotations
@@ -208,27 +210,74 @@ def _log_ratio(p: np.ndarray) -> np.ndarray:
     return (np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))).astype(np.float32)
 
 
-def _ratios(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Keys and ratios of events and of what their contexts leave to bytes unseen; a context's events come together."""
-    held = [b for b in rows if b.num_rows]
-    if not held:
-        return
-    whole = pa.Table.from_batches(held)
-    context, byte = whole["context"].to_numpy().view(np.uint64), whole["byte"].to_numpy().astype(np.uint64)
-    n = np.stack([whole["c0"].to_numpy(), whole["c1"].to_numpy()], axis=1).astype(float)
-    each, group = np.unique(context, return_inverse=True)
-    kept, freed = _shares(group, len(each), np.repeat(n.sum(axis=1, keepdims=True), 2, axis=1))
-    shared = kept + freed[group] / 256  # what a byte gets when even the shared counts don't know it
-    kept, freed = _shares(group, len(each), n)
-    for key, ratio in ((keyed(context, byte), _log_ratio(kept + freed[group] * shared)), (keyed(each, np.zeros_like(each)), _log_ratio(freed))):
-        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(ratio)], ["key", "ratio"])
+def _short(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities by last byte and byte (for the longer contexts to lean on), and the keys and ratios of contexts of a byte and none.
+
+    The shortest leans on one distribution for both classes: how many contexts a byte follows, and 1/256 for bytes unseen.
+    """
+    n = np.zeros((1 << 16, 2))
+    n[found["last"].to_numpy() * 256 + found["byte"].to_numpy()] = np.stack([found["n0"].to_numpy(), found["n1"].to_numpy()], axis=1)
+    follows = (n > 0).reshape(256, 256, 2).sum(axis=0).astype(float)
+    both = np.repeat((n.sum(axis=1) > 0).reshape(256, 256).sum(axis=0).astype(float)[:, None], 2, axis=1)
+    one = np.zeros(256, np.int64)
+    kept, freed = _shares(one, 1, both)
+    shared = kept + freed[0] / 256
+    kept, none = _shares(one, 1, follows)
+    alone = kept + none[0] * shared
+    last, byte = np.divmod(np.arange(1 << 16), 256)
+    kept, freed = _shares(last, 256, n)
+    p = kept + freed[last] * alone[byte]
+    seen, used, known = n.sum(axis=1) > 0, n.reshape(256, -1).sum(axis=1) > 0, follows.sum(axis=1) > 0
+    parts = ((last[seen], byte[seen], p[seen]), (np.arange(256)[used], np.zeros(used.sum(), int), freed[used]), (np.zeros(known.sum(), int), np.arange(256)[known], alone[known]), (np.zeros(1, int), np.zeros(1, int), none))
+    return p, np.concatenate([keyed(c.astype(np.uint64), b) for c, b, _ in parts]), np.concatenate([_log_ratio(x) for _, _, x in parts])
+
+
+def _long(short: np.ndarray):
+    """Keys and ratios of the events of contexts of two bytes and more; those that end in the same two come together.
+
+    Longest contexts, and those from a word's start, have counts; any other has the number of bytes seen before it.
+    """
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = [b for b in rows if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        context, byte = whole["context"].to_numpy().view(np.uint64), whole["byte"].to_numpy().astype(np.uint64)
+        counts = np.stack([whole["c0"].to_numpy(), whole["c1"].to_numpy()], axis=1).astype(float)
+        length = np.sum([context > m for m in _MASKS[:-1]], axis=0)
+        levels = []  # from the longest: contexts, bytes, counts, and each event's place in the next level
+        c, x, n = (a[length == DEPTH] for a in (context, byte, counts))
+        for size in range(DEPTH, 2, -1):
+            less, back = np.unique((c & _MASKS[size - 1]) << np.uint64(8) | x, return_inverse=True)
+            levels.append((c, x, n, back))
+            own = length == size - 1
+            seen = np.stack([np.bincount(back, weights=n[:, k] > 0, minlength=len(less)) for k in (0, 1)], axis=1)
+            c, x = np.concatenate([less >> np.uint64(8), context[own]]), np.concatenate([less & np.uint64(255), byte[own]])
+            n = np.concatenate([seen, counts[own]])
+        levels.append((c, x, n, ((c & np.uint64(255)) << np.uint64(8) | x).astype(np.int64)))
+        p = short
+        for c, x, n, back in reversed(levels):
+            each, group = np.unique(c, return_inverse=True)
+            kept, freed = _shares(group, len(each), n)
+            p = kept + freed[group] * p[back]
+            for key, ratio in ((keyed(c, x), _log_ratio(p)), (keyed(each, np.zeros_like(each)), _log_ratio(freed))):
+                yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(ratio)], ["key", "ratio"])
+
+    return run
 
 
 def _model(events: DataFrame) -> Model:
     """From counts by context and byte; the table has as many keys as the training rows have events and contexts."""
-    parts = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // _EVENTS))
-    found = events.repartition(parts, "context").mapInArrow(_ratios, "key long, ratio float").toArrow()
-    return Model(found["key"].to_numpy().view(np.uint64), found["ratio"].to_numpy())
+    n = events.count()
+    pair = events.where("context & -256 <> 0").withColumn("pair", F.expr("context & 65535"))
+    found = pair.groupBy("pair", "byte").agg(F.max(F.expr("int(c0 > 0)")).alias("n0"), F.max(F.expr("int(c1 > 0)")).alias("n1"))
+    found = found.groupBy(F.expr("pair & 255").alias("last"), "byte").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = found.unionByName(events.where("context & -256 = 0").select(F.col("context").alias("last"), "byte", F.col("c0").alias("n0"), F.col("c1").alias("n1")))
+    short, keys, ratio = _short(found.toArrow())
+    parts = max(events.sparkSession.sparkContext.defaultParallelism, -(-n // _EVENTS))
+    rest = pair.repartition(parts, "pair").select("context", "byte", "c0", "c1").mapInArrow(_long(short), "key long, ratio float").toArrow()
+    return Model(np.concatenate([keys, rest["key"].to_numpy().view(np.uint64)]), np.concatenate([ratio, rest["ratio"].to_numpy()]))
 
 
 def fold(name: str = "doc_id"):
@@ -258,11 +307,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     marks = table(marks)
     maybe, _ = split_by(docs.where("text is not null and doc_id is not null").select("doc_id", "text"), marks, "doc_id", marks.count())
     known = table(maybe.join(marks, "doc_id").select("doc_id", "text", "toxic"))
-    events = table(known.where(fold() < 4).select("text", "toxic").mapInArrow(_events, "context long, byte short, c0 long, c1 long").groupBy("context", "byte").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    n = known.where(fold() == 4).count()
+    curve = (fold() == 4) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(n, 1))))
+    rows = known.where(curve)
+    events = table(known.where(~curve).select("text", "toxic").mapInArrow(_events, "context long, byte short, c0 long, c1 long").groupBy("context", "byte").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     model = _model(events)
-    rows = known.where(fold() == 4).withColumn("h", F.xxhash64("doc_id"))
-    n = rows.count()
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(n, 1))))
     sent = spark.sparkContext.broadcast(model)
     found = rows.select("text", "toxic").mapInArrow(_features_of(sent), "toxic int, features array<double>").toArrow()
     release(marks, known, events)
