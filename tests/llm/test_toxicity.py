@@ -30,7 +30,7 @@ def last_known(model, words):
 def test_table_grows_and_events_do_not_meet(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=10))
-    rows = [(i, " ".join(word() for _ in range(300)), int(i % 4 == 0)) for i in range(1200)]
+    rows = [(i, " ".join([word() for _ in range(300)] * 2), int(i % 4 == 0)) for i in range(1200)]
     model, _ = fitted(spark, rows)
     assert len(model.keys) > 1 << 20
     counted = {x.doc_id for x in spark.range(1200).select(toxicity.F.col("id").alias("doc_id")).where(toxicity.fold().between(1, 3)).collect()}
@@ -113,7 +113,8 @@ def test_kneser_ney_of_all_orders(spark):
 
 def test_rows_that_the_curve_leaves_are_counted(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
-    rows = [(i, f"plain words here {'grulp' if i % 4 == 0 else 'calm'} n{''.join(chr(97 + int(d)) for d in str(i))}n", int(i % 4 == 0)) for i in range(400)]
+    own = lambda i: f"n{''.join(chr(97 + int(d)) for d in str(i))}n"
+    rows = [(i, f"plain words here {'grulp' if i % 4 == 0 else 'calm'} {own(i)} {own(i)}", int(i % 4 == 0)) for i in range(400)]
     ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", toxicity.fold().alias("fold")).where("fold = 4").collect()
     model, _ = fitted(spark, rows)
     assert sum(last_known(model, [rows[x.doc_id][1].split()[-1] for x in ids])) >= len(ids) - 35

@@ -10,8 +10,8 @@ in it, the largest means over runs of ``RUNS`` words, and its largest word. A lo
 rows that were not counted, gives the score.
 
 Counts cover all training rows but the at most ``FIT_ROWS`` of the curve. They are kept by 64-bit keys in a sorted table
-that has as many as there are events and contexts of all lengths, and is sent to the executors: it grows with the
-vocabulary of the training rows.
+that has all events and contexts that change a score, and is sent to the executors: it grows with the vocabulary of the
+training rows.
 """
 
 from __future__ import annotations
@@ -105,12 +105,18 @@ class Model:
         order = np.argsort(keys)
         self.keys, self.ratio = np.append(keys[order], np.uint64(2**64 - 1)), np.append(ratio[order], np.float32(0)).astype(np.float32)
         self.shift = 64 - max(len(keys).bit_length(), 1)
-        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << (64 - self.shift), dtype=np.uint64) << np.uint64(self.shift)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.first = None
         self.weights = self.mean = np.zeros(0)
         self.scale = np.ones(0)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"first": None}  # each worker makes its own
+
     def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of each key, 0 where it is missing, and whether it is there."""
+        if self.first is None:
+            starts = np.arange(1 << (64 - self.shift), dtype=np.uint64) << np.uint64(self.shift)
+            self.first = np.searchsorted(self.keys[:-1], starts).astype(np.int32 if len(self.keys) < 1 << 31 else np.int64)
         at = self.first[(key >> np.uint64(self.shift)).astype(np.int64)].astype(np.int64)
         late = np.flatnonzero(self.keys[at] < key)
         while len(late):
@@ -206,6 +212,17 @@ def _shares(group: np.ndarray, groups: int, n: np.ndarray) -> tuple[np.ndarray,
     return kept, freed
 
 
+def _entries(context: np.ndarray, byte: np.ndarray, p: np.ndarray, kept: np.ndarray, each: np.ndarray, freed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ratios of events and contexts, without those that a look-up adds up to the same without.
+
+    An event of which discounts leave nothing has the ratio of an unseen one, and a context that leaves both classes'
+    unseen bytes the same share has ratio 0.
+    """
+    own = kept.any(axis=1)
+    left = _log_ratio(freed)
+    return np.concatenate([keyed(context[own], byte[own]), keyed(each, np.zeros_like(each))[left != 0]]), np.concatenate([_log_ratio(p[own]), left[left != 0]])
+
+
 def _log_ratio(p: np.ndarray) -> np.ndarray:
     return (np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))).astype(np.float32)
 
@@ -261,14 +278,14 @@ def _long(short: np.ndarray):
             each, group = np.unique(c, return_inverse=True)
             kept, freed = _shares(group, len(each), n)
             p = kept + freed[group] * p[back]
-            for key, ratio in ((keyed(c, x), _log_ratio(p)), (keyed(each, np.zeros_like(each)), _log_ratio(freed))):
-                yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(ratio)], ["key", "ratio"])
+            key, ratio = _entries(c, x, p, kept, each, freed)
+            yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(key)), pa.array(ratio)], ["key", "ratio"])
 
     return run
 
 
 def _model(events: DataFrame) -> Model:
-    """From counts by context and byte; the table has as many keys as the training rows have events and contexts."""
+    """From counts by context and byte; the table grows with the training rows' events and contexts."""
     n = events.count()
     pair = events.where("context & -256 <> 0").withColumn("pair", F.expr("context & 65535"))
     found = pair.groupBy("pair", "byte").agg(F.max(F.expr("int(c0 > 0)")).alias("n0"), F.max(F.expr("int(c1 > 0)")).alias("n1"))
