@@ -252,9 +252,9 @@ def md_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("filler_drop", "select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(left(text, 400), '^[ \\n]+', ''), '[ \\n]+'), lambda w: lower(rtrim(w, ',.')) not in ('the', 'a', 'an', 'just', 'really', 'basically', 'actually', 'simply', 'sure', 'certainly', 'perhaps', 'maybe')), ' ') as words from documents")
 def filler_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of each text's head without fillers, articles and hedges, in the JVM: the feature is a preview of 400 characters."""
+    """The words of each text without fillers, articles and hedges, in the JVM. The SQL has the first 400 characters only."""
     gone = prose.LOCALES["en"].articles + prose.LOCALES["en"].fillers + prose.LOCALES["en"].hedges
-    words = F.split(F.regexp_replace(F.left("text", F.lit(400)), "^[ \n]+", ""), "[ \n]+")
+    words = F.split(F.regexp_replace("text", "^[ \n]+", ""), "[ \n]+")
     kept = F.filter(words, lambda w: ~F.lower(F.regexp_replace(w, "[,.]+$", "")).isin(*gone))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, " ").alias("words"))
 
