@@ -26,3 +26,7 @@ def agrees_without(spark, name, *cuts):
 
 def test_fillers_of_whole_texts(spark):
     assert agrees_without(spark, "filler_drop", ("left(text, 400)", "text"))
+
+
+def test_spawn_lines_beyond_the_third(spark):
+    assert agrees_without(spark, "spawn_line_strip", (" and n <= 3", ""))

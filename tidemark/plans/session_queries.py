@@ -276,6 +276,7 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("spawn_line_strip", f"select k as doc_id, n, line from ({_MD_LINES}) where not contains(line, 'Agent(Explore)') and not contains(line, 'Agent(Plan)') and not contains(line, 'Sub-agent') and n <= 3")
 def spawn_line_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = L.to_lines(markdown(spark, sf_dir), "doc_id").where("n <= 3")
+    """All lines without those of spawned agents. The SQL has the first three lines of a document only."""
+    lines = L.to_lines(markdown(spark, sf_dir), "doc_id")
     return lines.where(~X.has_any(F.col("line"), ("Agent(Explore)", "Agent(Plan)", "Sub-agent")))
 
