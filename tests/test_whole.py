@@ -30,3 +30,11 @@ def test_fillers_of_whole_texts(spark):
 
 def test_spawn_lines_beyond_the_third(spark):
     assert agrees_without(spark, "spawn_line_strip", (" and n <= 3", ""))
+
+
+def test_signatures_of_every_document(spark):
+    assert agrees_without(spark, "signature_mode", (" where doc_id % 40 = 0", ""))
+
+
+def test_errors_of_every_conversation(spark):
+    assert agrees_without(spark, "graphql_errors", (" where conv_id % 2 = 0", ""))

@@ -184,9 +184,9 @@ select k as doc_id, section, n, line from held union all
 select k, 0, 0, '[' || count(*) || ' signatures from ' || any_value(raw) || ' lines]' from held join raw using (k) group by k
 """)
 def signature_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files of 400 lines and more, one for each fortieth document id."""
+    """Source files of 400 lines and more, one for each document. The SQL has each fortieth document id only."""
     i = F.col("n")
-    files = table(spark, sf_dir, "documents").where("doc_id % 40 = 0").select("doc_id", F.explode(F.expr("sequence(1L, 400 + doc_id % 50)")).alias("n"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.expr("sequence(1L, 400 + doc_id % 50)")).alias("n"))
     text = F.when(i % 5 == 0, F.concat(F.lit("def f"), i.cast("string"), F.lit("():"))).when(i % 5 == 1, F.concat(F.lit("class A"), i.cast("string"))).when(i % 5 == 2, F.concat(F.lit("    return "), i.cast("string"))).when(i % 5 == 3, "# note").otherwise("")
     return L.signatures(files.withColumn("line", text), "doc_id", "python")
 
@@ -201,7 +201,8 @@ select k, n * 2, 'Error: ' || regexp_extract(line, '"message":"*([^"]*)"', 1) fr
 select k, n * 2 + 1, 'Code: ' || regexp_extract(line, '"code":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"code":"*[^"]*"')
 """)
 def graphql_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0")
+    """Errors of all conversations. The SQL has the even ids only."""
+    turns = table(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("string")
     error = F.concat(F.lit('{"errors":[{"message":"bad '), turn, F.lit('","code":"E'), F.col("conv_id").cast("string"), F.lit('"}]}'))
     line = F.when(F.col("turn") % 3 == 0, error).when(F.col("turn") % 3 == 1, F.concat(F.lit('"code":"X'), turn, F.lit('"'))).otherwise(F.col("text"))
