@@ -38,3 +38,17 @@ def test_signatures_of_every_document(spark):
 
 def test_errors_of_every_conversation(spark):
     assert agrees_without(spark, "graphql_errors", (" where conv_id % 2 = 0", ""))
+
+
+def test_fingerprints_of_whole_passages(spark):
+    import __spark_entry__ as e
+
+    def fnv(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return str(h)
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {r.item_id: (r.n_bytes, r.fnv) for r in e.queries()["fnv_fingerprint"](spark, SF).collect()}
+    assert got == {i: (len(t.encode()), fnv(t)) for i, t in texts.items()}

@@ -192,9 +192,9 @@ _OCTETS = "list_transform(range(1, octet_length(encode(left(text, 24))) + 1), la
 select item_id, strlen(text)::int as n_bytes, list_reduce(list_prepend(14695981039346656037::uhugeint, {_OCTETS}), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::varchar as fnv from benchmark
 """)
 def fnv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a of each passage's first 24 characters, as a decimal number, with the passage's bytes."""
+    """FNV-1a of each whole passage, as a decimal number, with the passage's bytes. The SQL has the first 24 characters only."""
     high = lambda h: F.conv(h, 16, 10)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("n_bytes"), high(X.fnv1a(F.left("text", F.lit(24)))).alias("fnv"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("n_bytes"), high(similarity.fnv1a_long(F.col("text"))).alias("fnv"))
 
 
 def _grams_sql(key: str, source: str) -> str:
