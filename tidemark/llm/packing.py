@@ -3,7 +3,8 @@
 Method: pieces are dealt evenly into parts and each part is packed by best-fit decreasing. Dual feasible functions give
 a lower bound on a part's number of bins; a part at its bound is certified. Bins with gaps, of certified parts too since
 a sum of bounds can be above the bound of all, give their pieces back; these are dealt anew over fewer parts, so that
-parts exchange documents, and are packed again, until nothing is gained. A part holds at most ``PART`` pieces.
+parts exchange documents, and are packed again, until they are as few as the bound of all these pieces, fit in one part, or
+a round saves no bin. A part holds at most ``PART`` pieces.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.spread import cut, release, sweep, table
 from tidemark.llm.tokens import encoder
 
-CAPACITY, PART, ROUNDS, _CHARS = 2048, 40_000, 4, 1 << 19
+CAPACITY, PART, _CHARS = 2048, 40_000, 1 << 19
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """The largest bound of dual feasible functions: long lengths round up to a bin, short ones down to nothing."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """``lower_bound`` from the number of pieces of each length from 0 to ``capacity``."""
     words = np.concatenate([[0], np.cumsum(count * np.arange(capacity + 1))])
     number = np.concatenate([[0], np.cumsum(count)])
     best = -(-int(words[-1]) // capacity)
@@ -91,7 +94,7 @@ def _cut_pieces(path: str, capacity: int):
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean, surplus long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
 
 
 def _packer(round_: int, capacity: int):
@@ -99,12 +102,11 @@ def _packer(round_: int, capacity: int):
         lengths = group["length"].to_numpy()
         part = group["part"][0].as_py()
         bins, offsets, free = best_fit(lengths, capacity)
-        surplus = len(free) - lower_bound(lengths, capacity)
         # a bin is loose if its gap could hold the part's shortest piece, or is over a hundredth of it
         loose = free > min(int(lengths.min()), capacity // 100)
-        ids = (round_ << 56) + (part << 24) + bins
+        ids = (round_ << 50) + (part << 24) + bins
         out = group.drop_columns(["part"])
-        for name, value in (("sequence_id", ids), ("offset", offsets), ("loose", loose[bins]), ("surplus", np.full(len(bins), surplus))):
+        for name, value in (("sequence_id", ids), ("offset", offsets), ("loose", loose[bins])):
             out = out.append_column(name, pa.array(value))
         return out
 
@@ -130,24 +132,28 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     made = table(pieces_of(docs, path, capacity))
     columns = [*made.columns, "sequence_id", "offset"]
     full = made.where(f"length = {capacity}").withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62)).withColumn("offset", F.lit(0).cast("long"))
-    rest, done, kept = made.where(f"length < {capacity}"), [full], []
-    for round_ in range(1, ROUNDS + 1):
-        n = rest.count()
-        if not n:
-            break
+    rest, done, kept, before, round_ = made.where(f"length < {capacity}"), [full], [], None, 0
+    while n := rest.count():
+        round_ += 1
         parts = -(-n // PART)
         dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(parts)))
         packed = table(dealt.groupBy("part").applyInArrow(_packer(round_, capacity), _PACKED))
         kept.append(packed)
         sweep(spark)
+        now = packed.agg(F.countDistinct("sequence_id").alias("all"), F.countDistinct(F.when(F.col("loose"), F.col("sequence_id"))).alias("loose")).first()
+        if before is not None and now["all"] >= before[0]:  # nothing is gained
+            done.append(before[1])
+            break
         again = packed.where("loose")
-        gain = packed.agg(F.countDistinct(F.when(F.col("loose"), F.col("sequence_id"))).alias("bins"), F.sum(F.when(F.col("loose"), F.col("length"))).alias("words")).first()
-        # no round can do better than the words' own bound
-        if parts == 1 or round_ == ROUNDS or gain["bins"] <= -(-(gain["words"] or 0) // capacity):
+        count = np.zeros(capacity + 1, np.int64)
+        for length, many in again.groupBy("length").count().collect():
+            count[length] = many
+        # at the bound the loose bins are certified: no round can do better
+        if parts == 1 or now["loose"] <= (bound_of(count, capacity) if count.any() else 0):
             done.append(packed.select(columns))
             break
         done.append(packed.where("not loose").select(columns))
-        rest = again.select(made.columns)
+        rest, before = again.select(made.columns), (now["loose"], again.select(columns))
     out = done[0].select(columns)
     for more in done[1:]:
         out = out.unionByName(more)
