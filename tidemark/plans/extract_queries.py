@@ -185,14 +185,14 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.quality(extract.signal_terms(lines, "k"), kept, "k", "text")
 
 
-_OCTETS = "list_transform(range(1, octet_length(encode(left(text, 24))) + 1), lambda i: ('0x' || hex(array_slice(encode(left(text, 24)), i, i)))::utinyint::uhugeint)"
+_OCTETS = "list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || hex(array_slice(encode(text), i, i)))::utinyint::uhugeint)"
 
 
 @query("fnv_fingerprint", f"""
 select item_id, strlen(text)::int as n_bytes, list_reduce(list_prepend(14695981039346656037::uhugeint, {_OCTETS}), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)::varchar as fnv from benchmark
 """)
 def fnv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a of each whole passage, as a decimal number, with the passage's bytes. The SQL has the first 24 characters only."""
+    """FNV-1a of each whole passage, as a decimal number, with the passage's bytes."""
     high = lambda h: F.conv(h, 16, 10)
     return table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("n_bytes"), high(similarity.fnv1a_long(F.col("text"))).alias("fnv"))
 

@@ -168,7 +168,7 @@ def handler_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("*", X.command_name(F.col("cmd")).alias("name"), L.handler_of(F.col("cmd")).alias("handler"))
 
 
-_CODE = "select doc_id as k, i as n, case i % 5 when 0 then 'def f' || i || '():' when 1 then 'class A' || i when 2 then '    return ' || i when 3 then '# note' else '' end as line from documents, unnest(range(1, 401 + doc_id % 50)) as t(i) where doc_id % 40 = 0"
+_CODE = "select doc_id as k, i as n, case i % 5 when 0 then 'def f' || i || '():' when 1 then 'class A' || i when 2 then '    return ' || i when 3 then '# note' else '' end as line from documents, unnest(range(1, 401 + doc_id % 50)) as t(i)"
 
 
 @query("signature_mode", f"""
@@ -184,14 +184,14 @@ select k as doc_id, section, n, line from held union all
 select k, 0, 0, '[' || count(*) || ' signatures from ' || any_value(raw) || ' lines]' from held join raw using (k) group by k
 """)
 def signature_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files of 400 lines and more, one for each document. The SQL has each fortieth document id only."""
+    """Source files of 400 lines and more, one for each document."""
     i = F.col("n")
     files = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.expr("sequence(1L, 400 + doc_id % 50)")).alias("n"))
     text = F.when(i % 5 == 0, F.concat(F.lit("def f"), i.cast("string"), F.lit("():"))).when(i % 5 == 1, F.concat(F.lit("class A"), i.cast("string"))).when(i % 5 == 2, F.concat(F.lit("    return "), i.cast("string"))).when(i % 5 == 3, "# note").otherwise("")
     return L.signatures(files.withColumn("line", text), "doc_id", "python")
 
 
-_GRAPHQL = "select conv_id as k, turn as n, case turn % 3 when 0 then '{\"errors\":[{\"message\":\"bad ' || turn || '\",\"code\":\"E' || conv_id || '\"}]}' when 1 then '\"code\":\"X' || turn || '\"' else text end as line from conversations where conv_id % 2 = 0"
+_GRAPHQL = "select conv_id as k, turn as n, case turn % 3 when 0 then '{\"errors\":[{\"message\":\"bad ' || turn || '\",\"code\":\"E' || conv_id || '\"}]}' when 1 then '\"code\":\"X' || turn || '\"' else text end as line from conversations"
 
 
 @query("graphql_errors", f"""
@@ -201,7 +201,7 @@ select k, n * 2, 'Error: ' || regexp_extract(line, '"message":"*([^"]*)"', 1) fr
 select k, n * 2 + 1, 'Code: ' || regexp_extract(line, '"code":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"code":"*[^"]*"')
 """)
 def graphql_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of all conversations. The SQL has the even ids only."""
+    """Errors of all conversations."""
     turns = table(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("string")
     error = F.concat(F.lit('{"errors":[{"message":"bad '), turn, F.lit('","code":"E'), F.col("conv_id").cast("string"), F.lit('"}]}'))

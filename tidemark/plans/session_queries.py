@@ -250,9 +250,9 @@ def md_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.octet_length("text").alias("before"), F.octet_length("out").alias("after"), prose.is_safe(F.col("text"), F.col("out")).alias("safe"))
 
 
-@query("filler_drop", "select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(left(text, 400), '^[ \\n]+', ''), '[ \\n]+'), lambda w: lower(rtrim(w, ',.')) not in ('the', 'a', 'an', 'just', 'really', 'basically', 'actually', 'simply', 'sure', 'certainly', 'perhaps', 'maybe')), ' ') as words from documents")
+@query("filler_drop", "select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '^[ \\n]+', ''), '[ \\n]+'), lambda w: lower(rtrim(w, ',.')) not in ('the', 'a', 'an', 'just', 'really', 'basically', 'actually', 'simply', 'sure', 'certainly', 'perhaps', 'maybe')), ' ') as words from documents")
 def filler_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of each text without fillers, articles and hedges, in the JVM. The SQL has the first 400 characters only."""
+    """The words of each whole text without fillers, articles and hedges, in the JVM."""
     gone = prose.LOCALES["en"].articles + prose.LOCALES["en"].fillers + prose.LOCALES["en"].hedges
     words = F.split(F.regexp_replace("text", "^[ \n]+", ""), "[ \n]+")
     kept = F.filter(words, lambda w: ~F.lower(F.regexp_replace(w, "[,.]+$", "")).isin(*gone))
@@ -274,9 +274,9 @@ def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prose.prompt_budget(F.col("text"), 200).alias("text"))
 
 
-@query("spawn_line_strip", f"select k as doc_id, n, line from ({_MD_LINES}) where not contains(line, 'Agent(Explore)') and not contains(line, 'Agent(Plan)') and not contains(line, 'Sub-agent') and n <= 3")
+@query("spawn_line_strip", f"select k as doc_id, n, line from ({_MD_LINES}) where not contains(line, 'Agent(Explore)') and not contains(line, 'Agent(Plan)') and not contains(line, 'Sub-agent')")
 def spawn_line_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines without those of spawned agents. The SQL has the first three lines of a document only."""
+    """All lines without those of spawned agents."""
     lines = L.to_lines(markdown(spark, sf_dir), "doc_id")
     return lines.where(~X.has_any(F.col("line"), ("Agent(Explore)", "Agent(Plan)", "Sub-agent")))
 
