@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -21,15 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of this machine if all runs on it, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         global _own
         folder = _own = _own or tempfile.mkdtemp(prefix="shared-")
     return folder
@@ -38,10 +40,21 @@ def shared_folder(spark: SparkSession) -> str:
 _own = None
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def table(df: DataFrame) -> DataFrame:
-    """``df`` written as compressed columns in the shared folder and read from there; ``release`` removes it."""
+    """``df`` written as compressed columns in the shared folder and read from there.
+
+    ``release`` removes it; what a result still reads, or a failed query left, goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    at, files = _at(spark, path)
+    files.deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
@@ -51,21 +64,32 @@ def table(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Removes tables that nothing will read again."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._table
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        at, files = _at(df.sparkSession, df._table)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _bit(column: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def maybe_in(ids: DataFrame, name: str, rows: int) -> "Bitmap":
-    """A bitmap of hashed ids, sized by ``rows`` up to MAX_BITS: it lets every id of ``ids`` pass, and few others."""
+def maybe_in(ids: DataFrame, name: str, rows: int, hashes: bool = False) -> "Bitmap":
+    """A bitmap of hashed ids, sized by ``rows`` up to MAX_BITS: it lets every id of ``ids`` pass, and few others.
+
+    hashes: the ids are hashes themselves, as ``Bitmap.holds`` takes them.
+    """
     bits = 1 << 16
     while bits < min(16 * max(rows, 1), MAX_BITS):
         bits <<= 1
-    at = _bit(F.col(name), bits)
+    at = F.pmod(F.col(name), F.lit(bits)) if hashes else _bit(F.col(name), bits)
     found = (
         ids.select(at.alias("at")).selectExpr("cast(at div 32 as int) as w", "shiftleft(1L, cast(at % 32 as int)) as b")
         .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -89,12 +113,23 @@ class Bitmap:
 
         return hit(_bit(column, self.bits))
 
+    def holder(self):
+        """A function for the workers: which of some hashes pass."""
+        words, mask = self.words, np.uint64(self.bits - 1)
+
+        def holds(hashes: np.ndarray) -> np.ndarray:
+            at = hashes.astype(np.uint64) & mask
+            return (words.value[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+        return holds
+
 
 def split_by(docs: DataFrame, ids: DataFrame, name: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` that may be among ``ids`` (few others with them), and those that are surely not. Nothing is shuffled."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
-    marked = docs.withColumn("_hit", maybe_in(ids, name, rows).test(key))
-    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+    hit = free(docs, "_hit")
+    marked = docs.withColumn(hit, maybe_in(ids, name, rows).test(key))
+    return marked.where(F.col(hit)).drop(hit), marked.where(~F.col(hit)).drop(hit)
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
