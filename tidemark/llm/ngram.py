@@ -313,12 +313,14 @@ def classify(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     found = table(named.mapInArrow(_identities(n), _IDENTITY))
-    same = found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    # written first, so that the join back is a plain one, whose large classes are split over tasks at run time
+    same = table(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")))
     known = table(found.drop("parity").join(same, ["h1", "h2", "n"], "left").selectExpr("doc_id", "n", "coalesce(rep, doc_id) as rep", "coalesce(n_copies, 1L) as n_copies"))
     copies = table(known.where("doc_id <> rep").select("doc_id").distinct())
     maybe, rest = split_by(named, copies, "doc_id", copies.count())
     own = known.where("doc_id = rep").select("doc_id").distinct()
     unlike = rest.unionByName(maybe.join(own, "doc_id", "left_semi"))
+    release(same)
     del same
     sweep(spark)
 
