@@ -3,7 +3,8 @@
 Method: difference-cover anchors. Of a text's positions only those whose remainder modulo a period lies in a difference
 cover are hashed, as anchors of ``width - period + 1`` words. Two equal windows of ``width`` words share an anchor at
 the same place in both, so a window that holds no repeated anchor needs no look. Around repeated anchors the match is
-extended to whole windows, which are compared by 128 bits of hash; each window's first start stays.
+extended to whole windows, which are compared by 128 bits of hash; each window's first start stays. Rows of one doc_id
+are one document: of a window that several of them hold, the first start in each row stays.
 
 Whole texts that repeat an earlier one are set aside first, by 128 bits of hash: all their windows start earlier.
 No pairs are made: an anchor or window that occurs k times costs k rows. Texts are read again (and only where a small
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import kernel
-from tidemark.llm.spread import release, split_by, sweep, table
+from tidemark.llm.spread import free, maybe_in, release, split_by, sweep, table
 
 #: Perfect difference sets: each distance modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -53,7 +54,8 @@ def _identities(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(texts.count.astype(np.int64)), h1, h2], ["doc_id", "n", "h1", "h2"])
 
 
-def _anchors(width: int):
+def _anchors(width: int, passes=None):
+    """Anchors with their places, or without ``passes``, which says what anchors may be repeated, the anchors alone."""
     period, cover, length = cover_for(width)
     member = np.zeros(period, bool)
     member[list(cover)] = True
@@ -68,14 +70,21 @@ def _anchors(width: int):
                 place = _places(texts)[: len(hashes)]
                 enough = np.repeat(texts.count >= width, texts.count)[: len(hashes)]
                 at = np.flatnonzero(member[place % period] & _starts(texts, length)[: len(hashes)] & enough)
+                anchors = hashes[at] >> np.uint64(14)
+                if passes is None:
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(anchors))], ["anchor"])
+                    continue
+                keep = passes(anchors)
+                at, anchors = at[keep], anchors[keep]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(hashes[at] >> np.uint64(14))), pa.array(ids[a:b][texts.text_of()[at]]), pa.array(place[at].astype(np.int32))], ["anchor", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(anchors)), pa.array(ids[a:b][texts.text_of()[at]]), pa.array(place[at].astype(np.int32))], ["anchor", "doc_id", "place"])
 
-    return run, "anchor long, doc_id long, place int"
+    return run, "anchor long" if passes is None else "anchor long, doc_id long, place int"
 
 
 def _candidates(width: int):
-    """Hashes of the windows that hold a repeated anchor; ``places`` are the anchors' places."""
+    """Hashes of the windows that hold a repeated anchor (``places`` are the anchors' places), and whether the text has them earlier too."""
     _, _, length = cover_for(width)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -99,46 +108,57 @@ def _candidates(width: int):
                 at = np.flatnonzero((np.cumsum(held)[: len(first)] > 0) & _starts(texts, width)[: len(first)])
                 if not len(at):
                     continue
-                second = kernel.windows(word, width, 2)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(first[at])), pa.array(kernel.signed(second)), pa.array(ids[a:b][texts.text_of()[at]]), pa.array(_places(texts)[at].astype(np.int32))], ["h1", "h2", "doc_id", "place"])
+                first, second, text = first[at], kernel.windows(word, width, 2)[at], texts.text_of()[at]
+                order = np.lexsort((at, second, first, text))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(first)), pa.array(kernel.signed(second)), pa.array(ids[a:b][text]), pa.array(_places(texts)[at].astype(np.int32)), pa.array(again)], ["h1", "h2", "doc_id", "place", "again"])
 
-    return run, "h1 long, h2 long, doc_id long, place int"
+    return run, "h1 long, h2 long, doc_id long, place int, again boolean"
 
 
 def removed_places(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
     """Rows (doc_id, places): the starts of windows of ``width`` words that also start earlier; and their number.
 
-    places is [-1] where all words go.
+    places is [-1] where all words go. What repeats is counted first, with partial sums, and written; places then join
+    with it by plain equi-joins, so that the rows of a key that many texts share are split over tasks at run time.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     known = table(docs.mapInArrow(_identities, "doc_id long, n long, h1 long, h2 long").where(f"n >= {width}"))
-    first = known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    first = table(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
     copies = table(known.join(first, ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id").distinct())
     maybe, rest = split_by(docs, copies, "doc_id", copies.count())
     docs = rest.unionByName(maybe.join(copies, "doc_id", "left_anti"))
+    release(known, first)
     del known, first, maybe, rest
     sweep(spark)
 
     def repeats() -> DataFrame:
         run, schema = _anchors(width)
-        near = "partition by anchor order by doc_id, place"
-        anchors = docs.mapInArrow(run, schema)
-        again = anchors.selectExpr("doc_id", "place", f"lag(place) over ({near}) is not null or lead(place) over ({near}) is not null as again").where("again")
-        return table(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+        twice = table(docs.mapInArrow(run, schema).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
+        sweep(spark)
+        run, schema = _anchors(width, maybe_in(twice, "anchor", twice.count(), hashes=True).holder())
+        out = table(docs.mapInArrow(run, schema).join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places")))
+        release(twice)
+        return out
 
     by_doc = repeats()
     sweep(spark)
 
     def later() -> DataFrame:
         run, schema = _candidates(width)
-        found = split_by(docs, by_doc, "doc_id", by_doc.count())[0].join(by_doc, "doc_id").mapInArrow(run, schema)
-        # the first start's row is the only one without a smaller (doc_id, place)
-        order = "partition by h1, h2 order by doc_id, place"
-        not_first = found.selectExpr("doc_id", "place", f"first_value(struct(doc_id, place)) over ({order} rows between unbounded preceding and current row) as first").where("first.doc_id <> doc_id or first.place <> place")
-        gone = not_first.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-        return table(gone.unionByName(copies.selectExpr("doc_id", "array(-1) as places")))
+        found = table(split_by(docs, by_doc, "doc_id", by_doc.count())[0].join(by_doc, "doc_id").mapInArrow(run, schema))
+        sweep(spark)
+        once = found.where("not again")
+        shared = table(once.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
+        sweep(spark)
+        gone = once.join(shared, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "place").unionByName(found.where("again").select("doc_id", "place"))
+        gone = gone.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+        out = table(gone.unionByName(copies.selectExpr("doc_id", "array(-1) as places")))
+        release(found, shared, copies)
+        return out
 
     gone = later()
     release(by_doc)
@@ -199,8 +219,9 @@ def _split(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` with the column places; only rows that may lose words are shuffled."""
     gone, rows = removed_places(docs, width)
     hit, rest = split_by(docs, gone, "doc_id", rows)
-    own = gone.withColumnRenamed("doc_id", "_id")
-    return hit.join(own, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id").unionByName(rest.withColumn("places", F.lit(None).cast("array<int>")))
+    name = free(docs, "_id")
+    own = gone.withColumnRenamed("doc_id", name)
+    return hit.join(own, F.col("doc_id").cast("long") == F.col(name), "left").drop(name).unionByName(rest.withColumn("places", F.lit(None).cast("array<int>")))
 
 
 def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -211,7 +232,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
     fewer than ``width`` words and rows with a null doc_id lose nothing. Rows that repeat a doc_id count as the same
     document: none of them is earlier than the other. Columns named like the operator's own are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "places", "_hit", "_id")
+    docs = docs.drop("n_words", "n_removed", "places")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return _split(docs, width).mapInArrow(_clean(width, False, docs.columns), schema)
 
