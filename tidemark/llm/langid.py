@@ -6,7 +6,8 @@ cosine. The least similar ``REJECTED`` of a language's training texts set the di
 a rejected text keeps its nearest language, with a score under one half.
 
 The model is fitted on at most ``per_language`` texts of each language (those with the smallest hashes of their ids), of
-which only count vectors of a fixed size reach the driver. Prediction reads whole texts.
+which only count vectors of a fixed size reach the driver. Languages are counted first, so that all but about twice as
+many ids are ruled out where they are read. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import kernel
-from tidemark.llm.spread import split_by
+from tidemark.llm.spread import release, split_by, table
 
 DIMS, CENTROIDS, REJECTED, _ROWS = 1 << 12, 4, 0.01, 256
 _LETTER = np.full(256, 32, np.uint8)  # other ASCII counts as a space
@@ -102,18 +103,36 @@ def _vectors(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """Whether a document is kept from learning; a null doc_id isn't held out, though it is never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def sampled(known: DataFrame, per_language: int) -> DataFrame:
+    """(doc_id, lang) of at most ``per_language`` doc_ids of each language, those with the smallest hashes.
+
+    By a language's number of rows a bound is set that leaves some more than are wanted, whatever the language's share
+    of all rows is; only these few are ranked. Where a language's doc_ids repeat much, fewer are left.
+    """
+    # written, so that the planner knows its size and sends it to the rows, unless languages are very many
+    many = table(known.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows")))
+    most = per_language + 8 * int(per_language**0.5) + 16
+    ids = known.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    ids = ids.join(many, F.col("lang") == F.col("_lang")).where(F.expr(f"double(h) * _rows < {most} * 9223372036854775808D")).select("doc_id", "lang", "h").distinct()
+    return ids.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by h, doc_id) as r").where(f"r <= {per_language}").select("doc_id", "lang")
 
 
 def fit(docs: DataFrame, per_language: int = 500) -> Model | None:
-    """Learns from ``docs`` (doc_id, text, lang), rows without lang or text left out; None if none is left."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
-    ids = ids.selectExpr("doc_id", "lang", "row_number() over (partition by lang order by h, doc_id) as r").where(f"r <= {per_language}")
-    ids = ids.select("doc_id").distinct().cache()
-    maybe, _ = split_by(known.select("doc_id", "text", "lang"), ids, "doc_id", ids.count())
-    found = maybe.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_vectors, "lang string, vector binary").toArrow()
-    ids.unpersist()
+    """Learns from ``docs`` (doc_id, text, lang), rows without lang, text or doc_id left out; None if none is left.
+
+    Of rows that repeat a doc_id the one with the smallest lang and text is learned from, if at all.
+    """
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    ids = table(sampled(known, per_language).select("doc_id").distinct())
+    rows = ids.count()  # at most per_language for each language
+    maybe, _ = split_by(known.select("doc_id", "text", "lang"), ids, "doc_id", rows)
+    one = maybe.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    found = one.select("x.lang", "x.text").mapInArrow(_vectors, "lang string, vector binary").toArrow()
+    release(ids)
     if not found.num_rows:
         return None
     langs = np.array(found["lang"].to_pylist(), object)
