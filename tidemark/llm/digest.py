@@ -29,6 +29,8 @@ STEP = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], np.int
 HEAD = 120
 MOST = 6 * BUCKETS + HEAD
 _ROWS = 512
+#: Ranges of doc_ids at most: so many cuts and first rows' numbers are held by the driver and sent to the executors.
+MOST_PARTS = 50_000
 
 
 def digests(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -130,32 +132,35 @@ def _compare(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def neighbour_report(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
+def neighbour_report(docs: DataFrame, part_bytes: int = 16 << 20, most_parts: int = MOST_PARTS) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and its likeness to that and to the next document.
 
     The next document is the one after it by descending doc_id, and the first one after the last; null doc_ids come
     last, and rows with one doc_id go by their text. A null text counts as empty; a single document is its own next.
-    Texts are shuffled once: doc_ids are cut into ranges of about ``part_bytes`` of text, and each range gets, as a
-    guest, the row that comes after its last one. Columns other than doc_id and text are not read.
+    Texts are shuffled once: doc_ids are cut into ranges of about ``part_bytes`` of text, one to a task, and each range
+    gets, as a guest, the row that comes after its last one. Large tables have larger ranges, ``most_parts`` in number
+    at most, so that what the driver holds and sends of them, a few numbers each, is bounded; a range is sorted with
+    spilling and read in small batches. Very long texts are held a few at a time. Columns other than doc_id and text
+    are not read; a doc_id that is not a whole number counts as null.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.expr("try_cast(doc_id as bigint)").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("named")).first()
     if not total["n"]:
         return spark.createDataFrame([], _OUT)
-    parts = max(1, int(total["bytes"]) // part_bytes)
+    parts = max(1, min(most_parts, int(total["bytes"]) // part_bytes))
     # cuts by rank: all of a doc_id's rows are on one side
     cuts = sorted(set(docs.where("doc_id is not null").select("doc_id").stat.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 and total["named"] else []
     edges = [int(x) for x in cuts]
     # part 0 holds the largest doc_ids; null doc_ids go to the last
     last = len(edges)
-    bounds = np.array(edges, np.int64)
+    bounds = spark.sparkContext.broadcast(np.array(edges, np.int64))
 
     @F.pandas_udf("int")
     def part(ids: pd.Series) -> pd.Series:
         named = ids.notna()
-        at = last - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right")
+        at = last - np.searchsorted(bounds.value, ids.fillna(0).to_numpy(np.int64), "right")
         return pd.Series(np.where(named, at, last)).astype("int32")
 
     dealt = docs.withColumn("part", part("doc_id"))
@@ -163,9 +168,10 @@ def neighbour_report(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     heads = dealt.groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()
     wanted = spark.createDataFrame([(h["part"], h["doc_id"]) for h in heads], "part int, top long")
     tops = dealt.join(F.broadcast(wanted), (dealt["part"] == wanted["part"]) & dealt["doc_id"].eqNullSafe(wanted["top"])).groupBy(dealt["part"].alias("part")).agg(F.min("text").alias("text"))
-    before = {heads[k]["part"]: heads[k - 1]["part"] for k in range(len(heads))}
-    moved = spark.createDataFrame(list(before.items()), "part int, prior int")
+    # parts in use are numbered without gaps: each goes to the task of its number
+    places = {h["part"]: k for k, h in enumerate(heads)}
+    moved = spark.createDataFrame([(p, k, (k - 1) % len(heads)) for p, k in places.items()], "part int, place int, prior int")
     guests = tops.join(F.broadcast(moved), "part").select(F.col("prior").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("guest"))
-    every = dealt.withColumn("guest", F.lit(False)).select("part", "doc_id", "text", "guest").unionByName(guests)
-    laid = every.repartition(len(heads), "part").sortWithinPartitions("part", "guest", *order)
+    own = dealt.join(F.broadcast(moved), "part").select(F.col("place").alias("part"), "doc_id", "text", F.lit(False).alias("guest"))
+    laid = own.unionByName(guests).repartitionById(len(heads), F.col("part")).sortWithinPartitions("part", "guest", *order)
     return laid.mapInArrow(_compare, _OUT)
