@@ -118,3 +118,16 @@ def test_rows_that_the_curve_leaves_are_counted(spark, monkeypatch):
     ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", toxicity.fold().alias("fold")).where("fold = 4").collect()
     model, _ = fitted(spark, rows)
     assert sum(last_known(model, [rows[x.doc_id][1].split()[-1] for x in ids])) >= len(ids) - 35
+
+
+def test_scores_without_a_table_sent_are_the_same(spark, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgé", k=r.randint(1, 60 if r.random() < 0.05 else 9)))
+    rows = [(i, " ".join([word() for _ in range(r.randint(1, 60))] + ["grulp"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "grulp " * 30), (903, "the same")] + [(904, "the same")] * 3, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    score = lambda: sorted((x.doc_id, round(x.score, 9), x.predicted) for x in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+    sent = score()
+    monkeypatch.setattr(toxicity, "TABLE_EVENTS", 0)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 2000)
+    assert score() == sent and len({x[1] for x in sent}) > 200

@@ -58,7 +58,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic")))
-    return found.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(toxicity.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,24 +9,27 @@ pieces of ``PIECE`` bytes) of the difference of both classes' log-likelihoods, t
 in it, the largest means over runs of ``RUNS`` words, and its largest word. A logistic curve over them, fitted on training
 rows that were not counted, gives the score.
 
-Counts cover all training rows but the at most ``FIT_ROWS`` of the curve. They are kept by 64-bit keys in a sorted table
-that has all events and contexts that change a score, and is sent to the executors: it grows with the vocabulary of the
-training rows.
+Counts cover all training rows but the at most ``FIT_ROWS`` of the curve, and grow with the vocabulary of these rows. Up
+to ``TABLE_EVENTS`` different events, ratios are kept by 64-bit keys in a sorted table that has all events and contexts that
+change a score, and is sent to the executors. Beyond that nothing is sent: events stay dealt out by the last two bytes of
+their contexts; the distinct words of the texts are asked there, and their values go to the texts that hold them, which are
+shuffled once. Both ways give the same scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import kernel
 from tidemark.llm.langid import _LETTER
-from tidemark.llm.spread import release, split_by, table
+from tidemark.llm.spread import free, release, split_by, sweep, table
 
 DEPTH, DISCOUNT, RUNS, STRONG = 8, (1.0, 1.3, 1.5), (12, 50, 200), 2.0
 #: What stands for a word's start and end; longer words are so many bytes a piece where features are gathered.
@@ -38,6 +41,8 @@ _MASKS = np.array([(1 << 8 * n) - 1 for n in range(DEPTH + 1)], np.uint64)
 FIT_ROWS = 20_000
 #: Events of a task that makes ratios of them.
 _EVENTS = 500_000
+#: Different events of the largest table that is sent to the executors (about 12 bytes each), and bytes of text to a task beyond it.
+TABLE_EVENTS, PART_BYTES = 1 << 22, 16 << 20
 
 
 class Spelled:
@@ -49,8 +54,9 @@ class Spelled:
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray):
         self.texts = texts = kernel.Words(_LETTER[body], offsets, sep=_SPACE)
-        _, first, self.number = np.unique(texts.ids(), return_index=True, return_inverse=True)
-        start, self.size = texts.start[first], texts.end[first] - texts.start[first]
+        self.id, first, self.number = np.unique(texts.ids(), return_index=True, return_inverse=True)
+        self.start = start = texts.start[first]
+        self.size = texts.end[first] - start
         self.begin = np.concatenate([[0], np.cumsum(self.size + 1)])
         self.place = np.arange(self.begin[-1]) - np.repeat(self.begin[:-1], self.size + 1)
         at = np.repeat(start, self.size + 1) + self.place
@@ -61,6 +67,14 @@ class Spelled:
             before = np.where(self.place >= k, padded[np.maximum(at - k, 0)], np.where(self.place == k - 1, _EDGE, 0))
             self.context |= before.astype(np.uint64) << np.uint64(8 * (k - 1))
 
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word's pieces, and the first event of each piece: a word's end belongs to its last one."""
+        return -(-self.size // PIECE), np.flatnonzero((self.place % PIECE == 0) & (self.place < np.repeat(self.size, self.size + 1)))
+
+
+def _lengths(context: np.ndarray) -> np.ndarray:
+    return np.sum([context > m for m in _MASKS[:-1]], axis=0) if len(context) else np.zeros(0, np.int64)
+
 
 def keyed(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
     """64 bits for an event; byte 0 for what a context leaves to bytes unseen after it."""
@@ -106,11 +120,14 @@ class Model:
         self.keys, self.ratio = np.append(keys[order], np.uint64(2**64 - 1)), np.append(ratio[order], np.float32(0)).astype(np.float32)
         self.shift = 64 - max(len(keys).bit_length(), 1)
         self.first = None
+        #: beyond TABLE_EVENTS: the table of events, and what longer contexts lean on
+        self.events: DataFrame | None = None
+        self.short = np.zeros(0)
         self.weights = self.mean = np.zeros(0)
         self.scale = np.ones(0)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"first": None}  # each worker makes its own
+        return self.__dict__ | {"first": None, "events": None}  # each worker makes its own index
 
     def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ratio of each key, 0 where it is missing, and whether it is there."""
@@ -126,11 +143,13 @@ class Model:
         return np.where(hit, self.ratio[at], 0), hit
 
     def words(self, words: Spelled) -> np.ndarray:
+        """The ratio of each event of some words."""
+        return self.ratios(words.context, words.byte, np.minimum(words.place + 1, DEPTH))
+
+    def ratios(self, context: np.ndarray, byte: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The ratio of each event: the longest known context's, and what longer ones leave to unseen bytes."""
-        out = np.zeros(len(words.byte))
+        out = np.zeros(len(byte))
         at = np.arange(len(out))
-        length = np.minimum(words.place + 1, DEPTH)
-        context, byte = words.context, words.byte
         while len(at):
             ratio, hit = self.look(keyed(context, byte))
             out[at] += ratio
@@ -141,14 +160,17 @@ class Model:
             context = context & _MASKS[length]
         return out
 
-    def features(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def pieces(self, words: Spelled) -> np.ndarray:
+        """The log-likelihood ratio of each piece of each word; contexts reach over the bounds of pieces."""
+        _, head = words.pieces()
+        return np.add.reduceat(self.words(words), head) if len(head) else np.zeros(0)
+
+    def features(self, body: np.ndarray, offsets: np.ndarray, valued: Callable[[Spelled], np.ndarray] | None = None) -> np.ndarray:
         words = Spelled(body, offsets)
         texts, number = words.texts, words.number
         rows = len(offsets) - 1
-        # words in pieces: contexts reach over their bounds, and a word's end belongs to its last one
-        pieces = -(-words.size // PIECE)
-        head = np.flatnonzero((words.place % PIECE == 0) & (words.place < np.repeat(words.size, words.size + 1)))
-        value = np.add.reduceat(self.words(words), head) if len(head) else np.zeros(0)
+        pieces, _ = words.pieces()
+        value = (valued or self.pieces)(words)
         before = np.concatenate([[0], np.cumsum(pieces)])
         many = pieces[number]
         upto = np.concatenate([[0], np.cumsum(many)])
@@ -176,9 +198,11 @@ class Model:
         out.append(np.where(count > 0, 1.0, 0.0))
         return np.stack(out, axis=1)
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = ((features - self.mean) / self.scale) @ self.weights[1:] + self.weights[0]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def curved(features: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Scores on the logistic curve."""
+    z = ((features - mean) / scale) @ weights[1:] + weights[0]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, penalty: float = 0.1) -> np.ndarray:
@@ -262,7 +286,7 @@ def _long(short: np.ndarray):
         whole = pa.Table.from_batches(held)
         context, byte = whole["context"].to_numpy().view(np.uint64), whole["byte"].to_numpy().astype(np.uint64)
         counts = np.stack([whole["c0"].to_numpy(), whole["c1"].to_numpy()], axis=1).astype(float)
-        length = np.sum([context > m for m in _MASKS[:-1]], axis=0)
+        length = _lengths(context)
         levels = []  # from the longest: contexts, bytes, counts, and each event's place in the next level
         c, x, n = (a[length == DEPTH] for a in (context, byte, counts))
         for size in range(DEPTH, 2, -1):
@@ -292,24 +316,150 @@ def _model(events: DataFrame) -> Model:
     found = found.groupBy(F.expr("pair & 255").alias("last"), "byte").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = found.unionByName(events.where("context & -256 = 0").select(F.col("context").alias("last"), "byte", F.col("c0").alias("n0"), F.col("c1").alias("n1")))
     short, keys, ratio = _short(found.toArrow())
+    if n > TABLE_EVENTS:
+        model = Model(keys, ratio)
+        model.events, model.short = events, short
+        return model
     parts = max(events.sparkSession.sparkContext.defaultParallelism, -(-n // _EVENTS))
     rest = pair.repartition(parts, "pair").select("context", "byte", "c0", "c1").mapInArrow(_long(short), "key long, ratio float").toArrow()
     return Model(np.concatenate([keys, rest["key"].to_numpy().view(np.uint64)]), np.concatenate([ratio, rest["ratio"].to_numpy()]))
 
 
+def _spelled(rows: Iterable[pa.RecordBatch], column: str = "text") -> Iterable[tuple[pa.RecordBatch, int, int, Spelled]]:
+    for batch in rows:
+        body, offsets = kernel.utf8(batch[column])
+        for a, b in kernel.chunks(offsets):
+            yield batch, a, b, Spelled(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
+def _spellings(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Different words of texts."""
+    for _, _, _, words in _spelled(rows):
+        body = words.texts.body.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(words.id)), pa.array([body[a : a + n] for a, n in zip(words.start.tolist(), words.size.tolist(), strict=True)], pa.binary())], ["word", "spelling"])
+
+
+def _asked(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The events of words, by word and piece."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, 10_000):
+            spellings = batch["spelling"].slice(at, 10_000).to_pylist()
+            words = Spelled(np.frombuffer(b"".join(spellings), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spellings])]))
+            piece = np.minimum(words.place // PIECE, np.repeat(words.pieces()[0] - 1, words.size + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kernel.signed(np.repeat(words.id, words.size + 1))), pa.array(piece.astype(np.int32)), pa.array(kernel.signed(words.context)), pa.array(words.byte.astype(np.int16))], ["word", "piece", "context", "byte"]
+            )
+
+
+def _answers(model: Model):
+    """Ratios of the events asked for, summed by word and piece; a part's counted events come first."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held, own = [], None
+        for batch in rows:
+            asked = batch["word"].is_valid()
+            held.append(batch.filter(pc.invert(asked)).select(["context", "byte", "c0", "c1"]))
+            batch = batch.filter(asked)
+            if not batch.num_rows:
+                continue
+            if own is None:
+                made = list(_long(model.short)(held))
+                own = Model(np.concatenate([model.keys[:-1], *(x["key"].to_numpy().view(np.uint64) for x in made)]), np.concatenate([model.ratio[:-1], *(x["ratio"].to_numpy() for x in made)]))
+            context = batch["context"].to_numpy().view(np.uint64)
+            value = own.ratios(context, batch["byte"].to_numpy().astype(np.uint64), _lengths(context))
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["piece"], pa.array(value)], ["word", "piece", "value"])
+
+    return run
+
+
+def _needed(name: str):
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch, a, b, words in _spelled(rows):
+            part = np.asarray(batch[name])[a:b]
+            key = np.unique(np.stack([part[words.texts.text_of()].astype(np.int64), words.number], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(kernel.signed(words.id[key[:, 1]]))], ["part", "word"])
+
+    return run
+
+
+def _place(word: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return kernel.mix(word + piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 3)
+
+
+def _apart(docs: DataFrame, model: Model, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``finish`` over batches of ``docs`` and their features, without a table of the model in any place.
+
+    The distinct words of all texts are asked where the events are. Rows are dealt evenly over parts; each part gets the
+    values of its words, and then its rows in a stream.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_BYTES))
+    words = table(texts.mapInArrow(_spellings, "word long, spelling binary").distinct())
+    asked = words.mapInArrow(_asked, "word long, piece int, context long, byte short")
+    events = model.events.where("context & -256 <> 0")
+    none = F.lit(None)
+    both = events.select(none.cast("long").alias("word"), none.cast("int").alias("piece"), "context", "byte", "c0", "c1").unionByName(asked, allowMissingColumns=True)
+    laid = both.repartition(max(parts, -(-events.count() // _EVENTS)), F.expr("context & 65535")).sortWithinPartitions(F.col("word").isNotNull())
+    values = table(laid.mapInArrow(_answers(model), "word long, piece int, value double").groupBy("word", "piece").agg(F.sum("value").alias("value")))
+    release(words)
+    sweep(spark)
+    name = free(docs, "_part")
+    plain = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double")]
+    dealt = docs.withColumn(name, F.pmod(F.xxhash64(*plain), F.lit(parts)))
+    need = dealt.select(F.coalesce("text", F.lit("")).alias("text"), name).mapInArrow(_needed(name), "part long, word long").distinct().join(values, "word")
+    own = [free(docs, x) for x in ("_word", "_piece", "_value")]
+    need = need.select(F.col("part").alias(name), *(F.col(x[1:].rstrip("_")).alias(x) for x in own))
+    rows = dealt.unionByName(need, allowMissingColumns=True).repartitionById(parts, F.col(name).cast("int")).sortWithinPartitions(F.col(own[0]).isNull())
+    columns = docs.columns
+
+    def run(found: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held, key, value = [], None, None
+        for batch in found:
+            given = batch[own[0]].is_valid()
+            held.append(batch.filter(given).select(own))
+            batch = batch.filter(pc.invert(given)).select(columns)
+            if not batch.num_rows:
+                continue
+            if key is None:
+                word, piece, value = (np.concatenate([np.asarray(x[c]) for x in held]) for c in own)
+                key = _place(word.astype(np.int64).view(np.uint64), piece)
+                order = np.argsort(key)
+                key, value, held = key[order], value[order].astype(float), []
+
+            def valued(words: Spelled) -> np.ndarray:
+                many, head = words.pieces()
+                asked = _place(np.repeat(words.id, many), words.place[head] // PIECE)
+                return value[np.searchsorted(key, asked)] if len(asked) else np.zeros(0)
+
+            body, offsets = kernel.utf8(batch["text"])
+            for a, b in kernel.chunks(offsets):
+                yield finish(batch.slice(a, b - a), model.features(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], valued))
+
+    return rows.mapInArrow(run, schema)
+
+
 def fold(name: str = "doc_id"):
     return F.crc32(F.col(name).cast("string")) % 5
 
 
-def _features_of(sent):
+def _by_table(docs: DataFrame, model: Model | None, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """``finish`` over batches of ``docs`` and their features, with the model's table sent to the executors."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])
             for a, b in kernel.chunks(offsets):
-                found = sent.value.features(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), pa.array(found.tolist(), pa.list_(pa.float64()))], ["toxic", "features"])
+                found = np.zeros((b - a, 0)) if sent.value is None else sent.value.features(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield finish(batch.slice(a, b - a), found)
 
-    return run
+    return docs.mapInArrow(run, schema)
+
+
+def _featured(docs: DataFrame, model: Model | None, finish: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    return (_by_table if model is None or model.events is None else _apart)(docs, model, finish, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -329,9 +479,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = known.where(curve)
     events = table(known.where(~curve).select("text", "toxic").mapInArrow(_events, "context long, byte short, c0 long, c1 long").groupBy("context", "byte").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
     model = _model(events)
-    sent = spark.sparkContext.broadcast(model)
-    found = rows.select("text", "toxic").mapInArrow(_features_of(sent), "toxic int, features array<double>").toArrow()
-    release(marks, known, events)
+    listed = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    found = _featured(rows.select("text", "toxic"), model, lambda batch, x: pa.RecordBatch.from_arrays([batch["toxic"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "features"]), listed).toArrow()
+    release(marks, known, *([events] if model.events is None else []))
     y = found["toxic"].to_numpy().astype(float) if found.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return None
@@ -350,14 +500,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("score", "predicted")
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sent = spark.sparkContext.broadcast(model)
+    curve = None if model is None else (model.mean, model.scale, model.weights)
 
-    def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in rows:
-            body, offsets = kernel.utf8(batch["text"])
-            for a, b in kernel.chunks(offsets):
-                own = batch.slice(a, b - a)
-                found = np.zeros(b - a) if sent.value is None else sent.value.score(sent.value.features(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*own.schema.names, "score", "predicted"])
+    def finish(batch: pa.RecordBatch, features: np.ndarray) -> pa.RecordBatch:
+        found = np.zeros(batch.num_rows) if curve is None else curved(features, *curve)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return _featured(docs, model, finish, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
