@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, certified by lower bounds.
 
 Method: pieces are dealt evenly into parts and each part is packed by best-fit decreasing. Dual feasible functions give
-a lower bound on a part's number of bins; a part at its bound is certified. Bins with gaps, of certified parts too since
-a sum of bounds can be above the bound of all, give their pieces back; these are dealt anew over fewer parts, so that
-parts exchange documents, and are packed again, until they are as few as the bound of all these pieces, fit in one part, or
-a round saves no bin. A part holds at most ``PART`` pieces.
+a lower bound on a part's number of bins; a part at its bound is certified and final, but for its emptiest bin, since a
+sum of bounds can be above the bound of all. The other parts' bins with gaps give their pieces back; these are dealt anew
+over fewer parts, so that parts exchange documents, and are packed again, until all are certified together by the bound of
+all these pieces, fit in one part, or a round saves no bin. A part holds at most ``PART`` pieces. Each piece tells the
+surplus over the bound of the part that it was packed in.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _cut_pieces(path: str, capacity: int):
     return run, "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, surplus long, loose boolean"
 
 
 def _packer(round_: int, capacity: int):
@@ -102,11 +103,14 @@ def _packer(round_: int, capacity: int):
         lengths = group["length"].to_numpy()
         part = group["part"][0].as_py()
         bins, offsets, free = best_fit(lengths, capacity)
+        surplus = len(free) - lower_bound(lengths, capacity)
         # a bin is loose if its gap could hold the part's shortest piece, or is over a hundredth of it
         loose = free > min(int(lengths.min()), capacity // 100)
+        if not surplus:  # certified: only its emptiest bin may still be filled up
+            loose &= np.arange(len(free)) == free.argmax()
         ids = (round_ << 50) + (part << 24) + bins
         out = group.drop_columns(["part"])
-        for name, value in (("sequence_id", ids), ("offset", offsets), ("loose", loose[bins])):
+        for name, value in (("sequence_id", ids), ("offset", offsets), ("surplus", np.full(len(bins), surplus)), ("loose", loose[bins])):
             out = out.append_column(name, pa.array(value))
         return out
 
@@ -120,18 +124,21 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     run, schema = _cut_pieces(path, capacity)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.expr("try_cast(doc_id as bigint)").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id and offset (see ``pieces_of``).
+    """Per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset (see ``pieces_of``) and surplus.
 
-    Pieces of a sequence lie without gaps from offset 0 and hold at most ``capacity`` ids.
+    Pieces of a sequence lie without gaps from offset 0 and hold at most ``capacity`` ids. surplus is by how many
+    sequences the part that the piece was packed in is over its lower bound, 0 where the bound certifies it. Columns of
+    ``docs`` other than doc_id and text are not read; a doc_id that is not a whole number counts as null.
     """
     spark = docs.sparkSession
     made = table(pieces_of(docs, path, capacity))
-    columns = [*made.columns, "sequence_id", "offset"]
-    full = made.where(f"length = {capacity}").withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    columns = [*made.columns, "sequence_id", "offset", "surplus"]
+    zero = F.lit(0).cast("long")
+    full = made.where(f"length = {capacity}").withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62)).withColumn("offset", zero).withColumn("surplus", zero)
     rest, done, kept, before, round_ = made.where(f"length < {capacity}"), [full], [], None, 0
     while n := rest.count():
         round_ += 1
@@ -148,7 +155,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         count = np.zeros(capacity + 1, np.int64)
         for length, many in again.groupBy("length").count().collect():
             count[length] = many
-        # at the bound the loose bins are certified: no round can do better
+        # at the bound the loose bins are certified together: no round can do better
         if parts == 1 or now["loose"] <= (bound_of(count, capacity) if count.any() else 0):
             done.append(packed.select(columns))
             break
