@@ -90,6 +90,68 @@ def test_extraction():
     assert pages.main_text("<article><p>One <b>bold</b> word<br>and more &#65;&#x42;</p>") == "One bold word\nand more AB"
 
 
+LONG = "The text of this article is one that is long enough for the rules to be sure of it, and it has the words that such a text has in it, so that it stays."
+
+
+@pytest.mark.parametrize("names", ["no-sidebar", "has-sidebar content", "main side", "post widget", "page-header", "single-post legal", "newsletter", "layout"])
+def test_articles_in_named_wrappers(names):
+    assert pages.main_text(f'<body><div class="{names}"><nav>Menu</nav><article><p>{LONG}</p></article></div></body>') == LONG
+    assert pages.main_text(f'<form id="{names}"><div class="{names}"><main><p>{LONG}</p></main></div></form>') == LONG
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><header><h1>Title</h1></header><p>Hello there</p></article>", "Title\nHello there"),
+        (f'<article><div class="post-header"><h2>Head</h2></div><p class="legal">{LONG}</p></article>', f"Head\n{LONG}"),
+        ("<article><p>When a < b then the sum", "When a < b then the sum"),
+        (f"<article><p><a title=it's href=x>one</a> {LONG}</p></article>", f"one {LONG}"),
+        (f'<article><p>{LONG}</p><div class="ad">Buy this</div><p>Short one</p></article>', f"{LONG}\nShort one"),
+        (f'<article><p>{LONG}</p></article><div id="comments"><article class="comment-body"><p>{LONG}</p></article></div>', LONG),
+        (f'<article><p>{LONG}</p><article class="comment"><p>{LONG}</p></article></article>', LONG),
+        (f'<article class="post category-ads tag-social"><p>{LONG}</p></article><aside><article>{LONG}</article></aside>', LONG),
+        (f'<body><div class="cookieBar">{LONG}</div><div class="site-nav">{LONG}</div><div class="comment-list">{LONG}</div><p>{LONG}</p></body>', LONG),
+        ("<article><p>5 > 3 &lt;b&gt; 2</p></article>", "5 > 3 <b> 2"),
+    ],
+)
+def test_pages_keep_their_articles(page, text):
+    assert pages.main_text(page) == text
+
+
+def test_two_passes_match_a_plain_version():
+    r = random.Random(9)
+
+    def nearest(labels, found, k, step):
+        j = k + step
+        while 0 <= j < len(found):
+            if found[k][4]:
+                if found[j][4] and labels[j] in ("good", "bad"):
+                    return labels[j]
+            elif labels[j] in ("good", "bad", "noise"):
+                return "bad" if labels[j] == "noise" else labels[j]
+            j += step
+        return None
+
+    for _ in range(400):
+        texts = [LONG, "the word and the other", "Menu entry", "x" * 150, "Nothing in particular was said by anyone else here, nowhere"]
+        found = [(r.choice(["p", "h2", "div"]), r.choice(texts), r.random() < 0.2, r.choice([0, 0, 200]), r.random() < 0.5) for _ in range(r.randint(0, 9))]
+        labels = [pages.first_pass(b) for b in found]
+        second = list(labels)
+        for k, x in enumerate(labels):
+            if x == "near" and (found[k][4] or len(found[k][1]) >= pages.LENGTH_HIGH or "good" in (nearest(labels, found, k, -1), nearest(labels, found, k, 1))):
+                second[k] = "good"
+        want = []
+        for k, x in enumerate(second):
+            sides = nearest(second, found, k, -1), nearest(second, found, k, 1)
+            if x in ("good", "bad", "noise"):
+                want.append(x == "good")
+            elif found[k][4]:
+                want.append("good" in sides or sides == (None, None))
+            else:
+                want.append(sides[1] == "good" if x == "heading" else sides == ("good", "good"))
+        assert pages.classify(found) == want
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article>hello</article>", 5), (2, None, None, 6)]
     got = {r.page_id: (r.text, r.n_chars) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()}

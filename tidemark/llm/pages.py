@@ -1,11 +1,14 @@
 """HTML extraction by two passes of block rules.
 
 Method: a page is cut into blocks at block-level tags; what stands in scripts, styles, forms, menus, headers, footers,
-sidebars and elements whose class, id or role names a notice, an advert or comments is boilerplate from the start. The
-first pass classifies each other block by its length, the share of its characters in links and its density of stop
-words: good, bad, short or near-good. In the second pass near-good and short blocks inherit the label of the nearest
-decided blocks before and after them: good if both are, or for near-good ones if one is. Headings of good blocks stay.
-Within an article or main element one good neighbour is enough.
+sidebars and elements whose class, id or role names a notice, an advert or comments is boilerplate from the start. Names
+are whole words of a class or id, at its end or before a word for a container; those of a page's layout never sink an
+article or main element inside, nor paragraphs and headings of one. The first pass classifies each other block by its
+length, the share of its characters in links and its density of stop words: good, bad, short or near-good. In the second
+pass near-good and short blocks inherit the label of the nearest decided blocks before and after them: good if both are,
+or for near-good ones if one is. Headings of good blocks stay. An article or main element is evidence of its own: in it,
+near-good blocks are good, one good neighbour is enough, blocks without a decided neighbour are good, and boilerplate by
+place or name decides nothing about its neighbours.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,29 +48,55 @@ _DROP = frozenset("nav header footer aside form menu select button textarea nosc
 _HIDDEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S
 )
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)")
-_NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscri\w+|signup|login|"
-    r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer|masthead|header|toolbar|pagination|pager|comments?|commentlist|respond|replies|reply|disqus|discussion|"
-    r"share|sharing|social\w*|related|recommend\w*|widget\w*|tags?|search\w*|copyright|legal|complementary|navigation|contentinfo)(?:$|[\s_-])",
-    re.I,
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""")
+_NAME = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Names of what readers and other pages say: all inside goes.
+_OTHERS = frozenset("comment comments commentlist commentary respond replies reply disqus discussion related recommended recommendation recommendations".split())
+#: Names of what stands around a text.
+_AROUND = frozenset(
+    """
+    ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice
+    notices alert alerts popup modal newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer masthead
+    header toolbar pagination pager share sharing social widget widgets tags search copyright legal complementary contentinfo
+    """.split()
 )
-_KEEP = frozenset(("html", "body", "article", "main"))
+#: Words for containers, which may follow a name, and words before a name that make it say something else.
+_CONTAINERS = frozenset("area bar block body bottom box button buttons container content form group inner item items left link links list panel right row section slot text thread title top unit wrap wrapper".split())
+_ELSE = frozenset("no non not has have with without is category tag topic type format".split())
+_KEEP = frozenset(("html", "body", "main"))
 _HOLD = frozenset(("article", "main"))
+#: Elements that go unless they hold an article or main element.
+_SOFT = frozenset(("header", "form"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _HEADING = re.compile(r"h[1-6]")
 _WORD = re.compile(r"[^\W\d_]+")
 _WHITE = re.compile(r"\s+")
+_COMMENT = re.compile(r"(?:^|\s)(?:comment|reply)(?:-body|-content)?(?:\s|$)", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+@lru_cache(1 << 14)
+def _named(words: str) -> int:
+    """2 if a class, id or role names what others say, 1 if it names what stands around a text, else 0."""
+    most = 0
+    for word in words.split():
+        parts = [x.lower() for x in _PARTS.split(word) if x]
+        if not parts or len(parts) > 1 and parts[0] in _ELSE:
+            continue
+        while len(parts) > 1 and (parts[-1] in _CONTAINERS or parts[-1].isdigit()):
+            parts.pop()
+        most = max(most, 2 if parts[-1] in _OTHERS else 1 if parts[-1] in _AROUND else 0)
+    return most
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, int, bool]]:
     """(tag, text, boilerplate, characters in links, in an article or main element) of a page's blocks in order, with references decoded."""
     page = _HIDDEN.sub(" ", page)
     out: list[tuple[str, str, bool, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
-    noise = links = held = 0
+    #: open elements: name, what of hard and soft they add, and the soft count that an article or main set aside
+    stack: list[tuple[str, int, int, int]] = []
+    hard = soft = links = held = 0
     parts: list[str] = []
     linked = 0
     kind = "body"
@@ -75,7 +105,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, bool]]:
         nonlocal parts, linked
         text = _WHITE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((kind, text, noise > 0, linked, held > 0))
+            spared = held > 0 and (kind == "p" or _HEADING.fullmatch(kind) is not None)
+            out.append((kind, text, hard > 0 or soft > 0 and not spared, linked, held > 0))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -85,6 +116,15 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, bool]]:
         if links:
             linked += len(_WHITE.sub(" ", text).strip())
 
+    def close() -> None:
+        nonlocal hard, soft, held
+        name, h, s, aside = stack.pop()
+        hard -= h
+        soft -= s
+        if name in _HOLD:
+            held -= 1
+            soft = aside
+
     at = 0
     for m in _TAG.finditer(page):
         if m.start() > at:
@@ -100,15 +140,23 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, bool]]:
             if block:
                 for last in _CLOSES.get(name, "").split():
                     if stack and stack[-1][0] == last:
-                        noise -= stack.pop()[1]  # never one of _HOLD
-            named = " ".join(x or y or z for x, y, z in _NAME.findall(m[3])) if m[3] and name not in _KEEP else ""
-            bad = name in _DROP or bool(named and _NOISE.search(named))
+                        close()
+            names = " ".join(x or y or z for x, y, z in _NAME.findall(m[3])) if m[3] and name not in _KEEP else ""
+            level = _named(names) if names else 0
+            if name == "article":  # a reader's comment may be one
+                level = 2 if level == 2 and _COMMENT.search(names) else 0
+            h = int(name in _DROP and name not in _SOFT or level == 2)
+            s = int(not h and (name in _SOFT or level == 1))
             if name == "a":
                 links += 1
-            if block or bad:
-                stack.append((name, bad))
-                noise += bad
-                held += name in _HOLD
+            if block or h or s:
+                aside = 0
+                if name in _HOLD:
+                    held += 1
+                    aside, soft = soft, 0
+                stack.append((name, h, s, aside))
+                hard += h
+                soft += s
                 kind = name
         else:
             if name == "a":
@@ -117,45 +165,43 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, bool]]:
             if depth is not None:
                 flush()
                 while len(stack) > depth:
-                    name, bad = stack.pop()
-                    noise -= bad
-                    held -= name in _HOLD
+                    close()
                 kind = stack[-1][0] if stack else "body"
     if at < len(page):
-        tail = page[at:]
-        add(tail if "<" not in tail else tail[: tail.index("<")])
+        add(page[at:])
     flush()
     return out
 
 
+def first_pass(block: tuple[str, str, bool, int, bool]) -> str:
+    """noise, bad, heading, short, near or good, by the block alone."""
+    tag, text, noise, linked, _ = block
+    if noise:
+        return "noise"
+    words = _WORD.findall(text.lower())
+    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if linked > MOST_LINKS * len(text):
+        return "bad"
+    if _HEADING.fullmatch(tag) and len(text) <= LONG_HEADING:
+        return "heading"
+    if len(text) < LENGTH_LOW:
+        return "short"
+    if density >= STOP_HIGH and len(text) >= LENGTH_HIGH:
+        return "good"
+    return "near" if density >= STOP_LOW or len(text) >= LENGTH_HIGH else "short"
+
+
 def classify(found: list[tuple[str, str, bool, int, bool]]) -> list[bool]:
     """Whether each block is main text.
 
     Blocks in an article or main element only look at neighbours in such an element; where none is decided they are good.
     """
-    first = []
-    for tag, text, noise, linked, _ in found:
-        words = _WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if noise or linked > MOST_LINKS * len(text):
-            first.append("bad")
-        elif _HEADING.fullmatch(tag) and len(text) <= LONG_HEADING:
-            first.append("heading")
-        elif len(text) < LENGTH_LOW:
-            first.append("short")
-        elif density >= STOP_HIGH and len(text) >= LENGTH_HIGH:
-            first.append("good")
-        elif density >= STOP_LOW or len(text) >= LENGTH_HIGH:
-            first.append("near")
-        else:
-            first.append("short")
+    first = [first_pass(block) for block in found]
     inside = [block[4] for block in found]
-    near = ["good" if x == "near" and "good" in (a, b) else x for x, (a, b) in zip(first, _decided(first, inside), strict=True)]
-    near = ["good" if x == "near" and (inside[k] or len(found[k][1]) >= LENGTH_HIGH) else x for k, x in enumerate(near)]
-    sides = _decided(near, inside)
+    near = ["good" if x == "near" and ("good" in (a, b) or inside[k] or len(found[k][1]) >= LENGTH_HIGH) else x for k, (x, (a, b)) in enumerate(zip(first, _decided(first, inside), strict=True))]
     out = []
-    for x, within, (a, b) in zip(near, inside, sides, strict=True):
-        if x in ("good", "bad"):
+    for x, within, (a, b) in zip(near, inside, _decided(near, inside), strict=True):
+        if x in ("good", "bad", "noise"):
             out.append(x == "good")
         elif within:
             out.append("good" in (a, b) or a == b == "none")
@@ -167,17 +213,20 @@ def classify(found: list[tuple[str, str, bool, int, bool]]) -> list[bool]:
 
 
 def _decided(labels: list[str], inside: list[bool]) -> list[tuple[str, str]]:
-    """The labels of the nearest decided blocks before and after each one; "none" where there is none."""
+    """The labels of the nearest decided blocks before and after each one; "none" where there is none.
+
+    Noise counts as bad, but not for blocks in an article or main element.
+    """
 
     def sweep(order: range) -> list[str]:
-        seen, last = ["none"] * len(labels), {True: "none", False: "none"}
+        seen, within, anywhere = ["none"] * len(labels), "none", "none"
         for k in order:
-            seen[k] = last[inside[k]]
+            seen[k] = within if inside[k] else anywhere
             if labels[k] in ("good", "bad"):
-                last[inside[k]] = labels[k]
-                if not inside[k]:
-                    continue
-                last[False] = labels[k]
+                anywhere = labels[k]
+                within = labels[k] if inside[k] else within
+            elif labels[k] == "noise":
+                anywhere = "bad"
         return seen
 
     return list(zip(sweep(range(len(labels))), sweep(range(len(labels) - 1, -1, -1)), strict=True))
