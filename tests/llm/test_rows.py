@@ -187,6 +187,26 @@ def test_scan_matches_brute_force(spark):
     assert len(licenses.rules()) > 200
 
 
+NOTICES = {
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2.0-or-later",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": "mit",
+    "see http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+    "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+    "The Software shall be used for Good, not Evil.": "json",
+    "A hundred good reasons to read on": "",
+}
+
+
+def test_notices(spark):
+    got = {x.text: x.labels for x in licenses.scan(spark.createDataFrame([(t,) for t in NOTICES], "text string")).collect()}
+    assert got == NOTICES and len(licenses.SENTENCES) > 100
+
+
+def test_every_rule_passes_the_gate(spark):
+    rows = [(k, f"x {r[2]} y") for k, r in enumerate(licenses.rules()) if r[2] in {s[1] for s in licenses.SENTENCES}]
+    assert spark.createDataFrame(rows, "k int, text string").where(~licenses.F.col("text").rlike(licenses.gate())).count() == 0
+
+
 LANGS = {"aa": ["ba", "do", "ki", "lum"], "bb": ["xer", "quo", "vi", "za"]}
 
 
