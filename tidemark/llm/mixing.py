@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.spread import sweep, table
+from tidemark.llm.spread import free, sweep, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, null last, repeating; a source gives at most MOST times its size.
@@ -65,6 +65,7 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as ``draw`` takes it. Rows that repeat a doc_id go by the most taken of them."""
-    taken = draw(docs, weights, most, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*[docs[c] for c in docs.columns])
+    own, many, turn = (free(docs, x) for x in ("_id", "_copies", "_copy"))
+    taken = draw(docs, weights, most, seed).groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(many)).where(F.col(many) > 0)
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(own)))
+    return rows.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -33,9 +33,11 @@ def repeats(texts: kernel.Words) -> np.ndarray:
     _, code = np.unique(texts.ids(), return_inverse=True)
     key = texts.text_of().astype(np.int64) * (int(code.max()) + 1) + code
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    small = np.int32 if n < 1 << 31 else np.int64  # ranks of every doubling are held
+    rank = np.empty(n, small)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    del key, code, new
     levels, width = [rank], 1
     at = np.arange(n)  # slots of the suffix array that are not settled
     while True:
@@ -49,7 +51,7 @@ def repeats(texts: kernel.Words) -> np.ndarray:
         ahead = own + width
         inside = ahead < last[own]
         second = np.where(inside, rank[np.where(inside, ahead, 0)] + 1, 0)
-        by = np.argsort(group * (n + 1) + second, kind="stable")
+        by = np.argsort(group.astype(np.int64) * (n + 1) + second, kind="stable")
         own, group, second = own[by], group[by], second[by]
         order[at] = own
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
@@ -144,7 +146,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """``docs`` (text and any others) with its measures of repetition, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words: base_failed, not kept. Each row is judged alone, whatever its other columns
-    hold; columns named like the operator's own are replaced. Memory follows the longest single text.
+    hold; columns named like the operator's own are replaced. Memory follows the longest single text: about 4 bytes a word
+    for each doubling of its longest repeat, and some 100 bytes a word besides.
     """
     docs = docs.drop(*_COLUMNS, "base_failed", "kept")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
