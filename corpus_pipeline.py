@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, repeated passages, mixing of sources, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of ``documents`` (doc_id, text, lang, source, n_chars); their decisions have taken effect in the rows.
+columns of ``documents`` (doc_id, text, lang, source, n_chars); their decisions have taken effect in the rows. Other
+columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from tidemark.ship import ship
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under one half; the model learns from the rows of ``labels``."""
+    """Documents whose score is under one half; the model learns from the rows of ``labels``.
+
+    Each row is scored by its text alone; null and empty texts have neutral features. Without labels of both classes all stay.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
@@ -27,15 +31,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat a doc_id one stays; rows with a null doc_id all stay. Only rows that may go are shuffled.
     """
     ship(spark)
+    own = spread.free(docs, "_id")
     found = ngram.classify(docs.select("doc_id", "text"), n=5, percent=80).where("doc_id is not null")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    maybe, kept = spread.split_by(docs, gone, "_id", gone.count())
-    kept = kept.unionByName(maybe.join(gone, F.col("doc_id") == F.col("_id"), "left_anti"))
-    twice = spread.cut(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    maybe, kept = spread.split_by(docs, gone, own, gone.count())
+    kept = kept.unionByName(maybe.join(gone, F.col("doc_id") == F.col(own), "left_anti"))
+    twice = spread.cut(found.groupBy(F.col("doc_id").alias(own)).count().where("count > 1").select(own))
     rows = twice.count()
     if not rows:
         return kept.select(docs.columns)
-    maybe, rest = spread.split_by(kept, twice, "_id", rows)
+    maybe, rest = spread.split_by(kept, twice, own, rows)
     return rest.unionByName(maybe.where("doc_id is not null").dropDuplicates(["doc_id"])).unionByName(maybe.where("doc_id is null")).select(docs.columns)
 
 
@@ -47,13 +52,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them. Rows that repeat a doc_id go by the most taken of them; null ids count as one."""
     ship(spark)
     return mixing.mixed(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents with their places in sequences of at most 2048 ids."""
+    """Pieces of tokenised documents with their places in sequences of at most 2048 ids. A null text is empty; repeated rows are pieces each."""
     ship(spark)
     return packing.pack(docs, queries.tokenizer_path())
 
