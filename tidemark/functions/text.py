@@ -190,11 +190,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
 
 
-def sketch(hashes: Column, k: int = 96) -> Column:
-    """The k smallest distinct hashes."""
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets as a 32-bit number; 0 if one is empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))

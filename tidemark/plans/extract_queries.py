@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing
 from tidemark.functions import text as X
 from tidemark.operators import extract, similarity
 from tidemark.plans import oracle as O
@@ -38,19 +39,12 @@ def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTPUT = f"select k, string_agg(line, chr(10) order by n) as text from ({event_lines_sql()}) group by k"
 
 
-def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, text): each session's output. A session's lines are one text, as its command printed them."""
-    lines = event_lines(spark, sf_dir).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
-    return lines.select("k", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
-
-
 _ERRORS = f"select k, array_to_string(list(left({O.trim('line')}, 120) order by n)[:3], '|') as errors from ({event_lines_sql()}) where {O.starts(O.ltrim('line'), X.ERROR_STARTS)} group by k"
 
 
 @query("extract_errors", _ERRORS)
 def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = outputs(spark, sf_dir).select("k", extract.errors(F.col("text")).alias("e"))
-    return found.where(F.size("e") > 0).select("k", F.array_join("e", "|").alias("errors"))
+    return extract.errors(event_lines(spark, sf_dir), "k").withColumn("errors", F.array_join("errors", "|"))
 
 
 _RESULT = "starts_with(t, 'test result:') or (contains(t, ' passed') and contains(t, ' failed')) or starts_with(t, 'PASSED') or starts_with(t, 'FAILED')"
@@ -58,15 +52,14 @@ _RESULT = "starts_with(t, 'test result:') or (contains(t, ' passed') and contain
 
 @query("test_summary", f"select k, coalesce(left(arg_min(t, n) filter (where {_RESULT}), 80), '') as test_summary from (select *, {O.trim('line')} as t from ({event_lines_sql()})) group by k")
 def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outputs(spark, sf_dir).select("k", extract.test_summary(F.col("text")).alias("test_summary"))
+    return extract.test_summary(event_lines(spark, sf_dir), "k")
 
 
-@query("git_events", f"select k, array_to_string(list(left(t, 100) order by n)[:5], '|') as events from (select *, {O.trim('line')} as t from ({event_lines_sql()})) where regexp_matches(t, '^[0-9a-fA-F]{{7}}') and k % 2 = 0 group by k")
+@query("git_events", f"select k, array_to_string(list(left(t, 100) order by n)[:5], '|') as events from (select *, {O.trim('line')} as t from ({event_lines_sql()})) where regexp_matches(t, '^[0-9a-fA-F]{{7}}') and k % 4 <> 3 group by k")
 def git_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of even number count as output of git."""
-    cmd = F.when(F.col("k") % 2 == 0, "/usr/bin/git log").otherwise("ls")
-    found = outputs(spark, sf_dir).select("k", extract.git_events(cmd, F.col("text")).alias("e"))
-    return found.where(F.size("e") > 0).select("k", F.array_join("e", "|").alias("events"))
+    """Commands of all sessions, git's under several names; only its output has commits."""
+    cmd = F.element_at(F.array(F.lit("git log"), F.lit("/usr/bin/git show"), F.lit("  git status"), F.lit("gitk")), (F.col("k") % 4 + 1).cast("int"))
+    return extract.git_events(event_lines(spark, sf_dir).withColumn("cmd", cmd), "k").withColumn("events", F.array_join("events", "|"))
 
 
 _COMMANDS = f"select conv_id, turn, {command_sql('(conv_id * 7 + turn)')} || case turn % 4 when 0 then ' > out.txt' when 1 then ' -n 5 src/main.rs' when 2 then ' -f lib/x.py' else '' end as cmd from conversations"
@@ -102,6 +95,7 @@ def summarize_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.summary_trigger(event_lines(spark, sf_dir), "k", 200)
 
 
+_CMD = F.concat(F.lit("cmd "), F.col("k").cast("string"))
 _SESSION_PATHS = f"select k, count(*) as n, list(w order by first_n)[:5] as top from ({_paths_sql('k', _OUTPUT)}) group by k"
 _FIELDS = f"""
 select o.k, 'cmd ' || o.k as cmd, len(string_split(o.text, chr(10)))::int as total, least(coalesce(p.n, 0), 100)::int as unique_files, coalesce(e.errors, '') as top_errors, coalesce(array_to_string(p.top, '|'), '') as top_files,
@@ -113,11 +107,11 @@ join (select k, coalesce(left(arg_min(t, n) filter (where {_RESULT}), 80), '') a
 
 @query("summary_fields", _FIELDS)
 def summary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.summary_fields(outputs(spark, sf_dir), "k", "text", F.concat(F.lit("cmd "), F.col("k").cast("string")), 20)
+    found = extract.summary_fields(event_lines(spark, sf_dir), "k", _CMD, 20)
     return found.withColumn("top_errors", F.array_join("top_errors", "|")).withColumn("top_files", F.array_join("top_files", "|"))
 
 
-@query("summary_prose", f"""
+_PROSE = f"""
 with f as ({_FIELDS}), rows as (
   select k, 1 as s, 0 as i, 'summary cmd=' || cmd as line from f union all select k, 2, 0, 'total_lines=' || total from f union all select k, 3, 0, 'unique_files=' || unique_files from f
   union all select k, 4, 0, 'top_errors:' from f where top_errors <> ''
@@ -127,19 +121,37 @@ with f as ({_FIELDS}), rows as (
   union all select k, 6, 0, 'test_summary=' || test_summary from f where test_summary <> '' union all select k, 7, 0, 'tail_preserved=' || tail_preserved from f
   union all select k, 8, n, line from (select *, row_number() over (partition by k order by n desc) as r from ({event_lines_sql()})) where r <= 20
 ) select k, row_number() over (partition by k order by s, i) as n, line from rows
-""")
+"""
+
+
+@query("summary_prose", _PROSE)
 def summary_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.prose_summary(outputs(spark, sf_dir), "k", "text", F.concat(F.lit("cmd "), F.col("k").cast("string")))
+    return extract.prose_summary(event_lines(spark, sf_dir), "k", _CMD)
 
 
 @query("summary_structured", f"select k, 'summary' as kind, cmd, total, case when top_files = '' then 0 else len(string_split(top_files, '|')) end::int as n_files, top_errors as errors, test_summary as test, least(5, total)::int as tail from ({_FIELDS})")
 def summary_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON summary, read back by its schema."""
-    made = extract.structured_summary(outputs(spark, sf_dir), "k", "text", F.concat(F.lit("cmd "), F.col("k").cast("string")))
+    made = extract.structured(extract.summary_fields(event_lines(spark, sf_dir), "k", _CMD, 5), "k")
     parsed = made.select("k", F.from_json("summary", "kind string, cmd string, total int, files array<string>, errors array<string>, test string, tail int").alias("s"))
     return parsed.select("k", "s.kind", "s.cmd", "s.total", F.size("s.files").alias("n_files"), F.array_join("s.errors", "|").alias("errors"), "s.test", "s.tail")
 
 
+_JSON = "'{\"kind\":\"summary\",\"cmd\":\"' || cmd || '\",\"total\":' || total || ',\"files\":' || to_json(case when top_files = '' then [] else string_split(top_files, '|') end)::varchar || ',\"errors\":' || to_json(case when top_errors = '' then [] else string_split(top_errors, '|') end)::varchar || ',\"test\":\"' || test_summary || '\",\"tail\":' || least(5, total) || '}'"
+
+
+@query("summary_auto", f"""
+with f as ({_FIELDS}), brief as (select k, 1 as n, {_JSON} as line from f where k % 3 = 0 union all
+  select k, least(5, c) - r + 2, line from (select *, row_number() over (partition by k order by n desc) as r, count(*) over (partition by k) as c from ({event_lines_sql()})) where r <= 5 and k % 3 = 0)
+select k, n, line from brief union all select k, n, line from ({_PROSE}) where k % 3 <> 0
+""")
+def summary_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries as the session's tier asks for: brief ones under pressure, with the last lines after them."""
+    lines = event_lines(spark, sf_dir)
+    tiers = lines.select("k", F.when(F.col("k") % 3 == 0, "ultra").otherwise("full").alias("tier")).distinct()
+    return extract.auto_summary(lines, "k", _CMD, tiers)
+
+
 _SHAPE = f"left(regexp_replace(regexp_replace(regexp_replace(lower({O.trim('line')}), '/[^{O.WS}\"]+', 'PATH', 'g'), '[a-f][0-9a-f]{{5,}}', 'HEX', 'g'), '[0-9]+', 'N', 'g'), 200)"
 
 
@@ -172,17 +184,38 @@ def signal_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHORT = f"select k, string_agg(line, chr(10) order by n) as text from ({event_lines_sql()}) where n % 3 <> 0 group by k"
 
 
-@query("quality_score", f"""
-select k, count(term) as n_terms, round(case when max(length(text)) = 0 then 0 when count(term) = 0 then 1 else sum(contains(lower(text), term)::int)::double / count(term) end, 6)::double as score,
-  case when max(length(text)) = 0 then 0 when count(term) = 0 then 1 else sum(contains(lower(text), term)::int)::double / count(term) end >= 0.5 as passed
-from ({_SHORT}) left join ({_TERMS}) using (k) group by k
-""")
+def _quality_sql(share: str) -> str:
+    return f"""
+    select k, count(term) as n_terms, round({share}, 6)::double as score, {share} >= 0.5 as passed from ({_SHORT}) left join ({_TERMS}) using (k) group by k
+    """
+
+
+_SHARE = "case when max(length(text)) = 0 then 0 when count(term) = 0 then 1 else sum(contains(lower(text), term)::int)::double / count(term) end"
+
+
+@query("quality_score", _quality_sql(_SHARE))
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a session's signal terms when every third line is dropped."""
     lines = event_lines(spark, sf_dir)
-    kept = lines.where("n % 3 <> 0").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
-    kept = kept.select("k", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
-    return extract.quality(extract.signal_terms(lines, "k"), kept, "k", "text")
+    return extract.quality(extract.signal_terms(lines, "k"), lines.where("n % 3 <> 0"), "k")
+
+
+_KEYWORDS = ("error TS2345", "user")
+_LACKS = " or ".join(f"not contains(any_value(text), {O.quoted(w)})" for w in _KEYWORDS)
+
+
+@query("quality_required", _quality_sql(f"case when {_LACKS} then 0 else {_SHARE} end"))
+def quality_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As quality_score, 0 where a keyword is missing."""
+    lines = event_lines(spark, sf_dir)
+    return extract.quality(extract.signal_terms(lines, "k"), lines.where("n % 3 <> 0"), "k", _KEYWORDS)
+
+
+@query("quality_keywords", _quality_sql(f"case when max(length(text)) = 0 or {_LACKS} then 0 else 1 end"))
+def quality_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only whether all keywords are left."""
+    lines = event_lines(spark, sf_dir)
+    return extract.quality(extract.signal_terms(lines, "k"), lines.where("n % 3 <> 0"), "k", _KEYWORDS, "keywords")
 
 
 _OCTETS = "list_transform(range(1, octet_length(encode(text)) + 1), lambda i: ('0x' || hex(array_slice(encode(text), i, i)))::utinyint::uhugeint)"
@@ -194,21 +227,46 @@ select item_id, strlen(text)::int as n_bytes, list_reduce(list_prepend(146959810
 def fnv_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a of each whole passage, as a decimal number, with the passage's bytes."""
     high = lambda h: F.conv(h, 16, 10)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("n_bytes"), high(similarity.fnv1a_long(F.col("text"))).alias("fnv"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").alias("n_bytes"), high(hashing.fnv1a_long(F.col("text"))).alias("fnv"))
 
 
 def _grams_sql(key: str, source: str) -> str:
     return f"select {key}, md5(array_to_string(ws[i:i + 2], ' ')) as h from (select {key}, list_filter(string_split_regex(text, '[{O.WS}]+'), lambda w: w <> '') as ws from {source}), unnest(range(1, len(ws) - 1)) as t(i)"
 
 
+def _fnv_sql(octets: str) -> str:
+    return f"list_reduce(list_prepend(14695981039346656037::uhugeint, {octets}), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+
+
+def _octets_sql(text: str) -> str:
+    return f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || hex(array_slice(encode({text}), i, i)))::utinyint::uhugeint)"
+
+
+def _hex_sql(number: str) -> str:
+    return f"lower(lpad(hex(({number})::ubigint), 16, '0'))"
+
+
 def _sketch_sql(key: str, source: str) -> str:
-    return f"select {key}, list(h order by h)[:96] as sketch from (select distinct * from ({_grams_sql(key, source)})) group by {key}"
+    """(key, sketch): hashes as 16 hex digits."""
+    runs = f"select distinct {key}, array_to_string(ws[i:i + 2], ' ') as g from (select {key}, list_filter(string_split_regex(text, '[{O.WS}]+'), lambda w: w <> '') as ws from {source}), unnest(range(1, len(ws) - 1)) as t(i)"
+    hashed = f"select g, {_hex_sql(_fnv_sql('os'))} as h from (select g, {_octets_sql('g')} as os from (select distinct g from ({runs})))"
+    return f"select {key}, list(distinct h order by h)[:96] as sketch from ({runs}) join ({hashed}) using (g) group by {key}"
 
 
 @query("shingle_sketch", f"select doc_id, len(sketch)::int as n, sketch[1] as lowest, md5(array_to_string(sketch, ',')) as digest from ({_sketch_sql('doc_id', 'documents')})")
 def shingle_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = similarity.sketches(table(spark, sf_dir, "documents"), "doc_id").where(F.size("sketch") > 0)
-    return made.select("doc_id", F.size("sketch").alias("n"), F.element_at("sketch", 1).alias("lowest"), F.md5(F.array_join("sketch", ",")).alias("digest"))
+    return made.select("doc_id", F.size("sketch").alias("n"), hashing.hex_of(F.element_at("sketch", 1)).alias("lowest"), F.md5(F.array_join(F.transform("sketch", hashing.hex_of), ",")).alias("digest"))
+
+
+_OUTS = r"select conv_id, turn, array_to_string(string_split_regex(regexp_replace(t, '\r?\n\z', ''), '\r?\n'), chr(10)) as j from (select conv_id, turn, text || chr(13) || chr(10) || role || chr(10) as t from conversations)"
+
+
+@query("output_fingerprint", f"select conv_id, turn, {_hex_sql(_fnv_sql(_octets_sql('j')))} as fp, left({_hex_sql(_fnv_sql(_octets_sql('j')))}, 8) as short_hash, strlen(j)::bigint as n_bytes from ({_OUTS})")
+def output_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of outputs, which don't depend on how lines end."""
+    text = F.concat("text", F.lit("\r\n"), "role", F.lit("\n"))
+    return similarity.fingerprints(table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text")), "text").drop("text")
 
 
 def _pairs_sql(source: str, least: float) -> str:
