@@ -1,12 +1,13 @@
 """Ordered lines of texts: cleaning, dedup, grouping, truncation and the rules of each kind of command.
 
-A line table has a key column, ``n`` (1-based order) and ``line``. Every operator here groups by the key only, so the
-rows of a text meet in one shuffle that the operators share.
+A line table has a key column, ``n`` (1-based order) and ``line``. Operators need equal lines, groups or whole texts together;
+``run_rule`` deals lines out by text once, which serves all of its operators, since truncation needs a text in one place.
+Operators by themselves deal by text and line or group, so that long texts spread.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,6 +168,9 @@ class Rule:
     limit: int = 120
     tail: bool = False
     keep: object = field(default=None)
+    #: GraphQL errors, work items: texts that hold such give only these
+    graphql: bool = False
+    items: bool = False
 
 
 def _test_passes(c: Column) -> Column:
@@ -235,8 +239,8 @@ def rule_for(handler: str, cmd: str = "", dedup_min: int = 2, max_lines: int = 1
         "build": Rule(drop=lambda c: X.starts_any(c, GRADLE_NOISE) | (X.starts_any(c, XCODE_NOISE) | X.has_any(c, XCODE_NOTES) if xcode else F.lit(False)), dedup=dedup_min, limit=100, tail=True),
         "next_build": Rule(drop=_next, dedup=dedup_min, limit=140),
         "wrangler": Rule(drop=_wrangler, dedup=dedup_min, limit=80, tail=True),
-        "cloud": Rule(drop=lambda c: c.startswith("---"), limit=100),
-        "network": Rule(drop=lambda c: c.startswith("< ") & ~c.startswith("< HTTP"), limit=60),
+        "cloud": Rule(drop=lambda c: c.startswith("---"), limit=100, items=("az boards" in cmd or "az repos" in cmd) and "az repos pr list" not in cmd),
+        "network": Rule(drop=lambda c: c.startswith("< ") & ~c.startswith("< HTTP"), limit=60, graphql=True),
         "runtime": Rule(drop=lambda c: X.starts_any(X.ltrim(c), ("at internal/", "at async internal/")), limit=50),
         "text_proc": Rule(cleans=False, hits=True, dedup=dedup_min, limit=max(max_lines, 20)),
     }.get(handler, Rule(dedup=dedup_min, group=5, limit=max_lines))
@@ -244,11 +248,20 @@ def rule_for(handler: str, cmd: str = "", dedup_min: int = 2, max_lines: int = 1
 
 def run_rule(lines: DataFrame, key: str, rule: Rule) -> DataFrame:
     """A handler's pipeline over a line table."""
+    if rule.graphql:
+        answers, lines = split_graphql(lines, key)
+        return graphql_errors(answers, key).unionByName(run_rule(lines, key, replace(rule, graphql=False)))
+    if rule.items:
+        found = work_items(lines, key)
+        rest = lines.join(found.select(key).distinct(), key, "left_anti")
+        return found.unionByName(run_rule(rest, key, replace(rule, items=False)))
     out = clean(lines) if rule.cleans else lines
     if rule.keep is not None:
         out = out.where(rule.keep(F.col("line")))
     if rule.drop is not None:
         out = out.where(~rule.drop(F.col("line")))
+    # after the filters and, but for dedup and grouping alone, the only exchange
+    out = out.repartition(key)
     if rule.hits:
         out = collapse_hits(out, key)
     if rule.dedup is not None:
@@ -258,10 +271,20 @@ def run_rule(lines: DataFrame, key: str, rule: Rule) -> DataFrame:
     return truncate(out, key, rule.limit, rule.tail)
 
 
+def _has_error(line: Column) -> Column:
+    return F.contains(line, F.lit('"errors"')) & F.contains(line, F.lit('"message"'))
+
+
+def split_graphql(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of texts that hold a GraphQL error once they are cleaned, and of the others."""
+    hit = F.max(_has_error(X.strip_ansi(F.col("line"))) & ~X.is_noise(X.strip_ansi(F.col("line")))).over(Window.partitionBy(key))
+    marked = lines.withColumn("_hit", hit)
+    return marked.where("_hit").drop("_hit"), marked.where("not _hit").drop("_hit")
+
+
 def graphql_errors(lines: DataFrame, key: str) -> DataFrame:
     """Messages and codes of texts that hold a GraphQL error, below a heading: (key, n, line)."""
-    held = clean(lines)
-    flagged = held.withColumn("_hit", F.max(F.contains("line", F.lit('"errors"')) & F.contains("line", F.lit('"message"'))).over(Window.partitionBy(key))).where("_hit").drop("_hit")
+    flagged = clean(split_graphql(lines, key)[0])
     value = lambda name: F.regexp_extract("line", f'"{name}":"*([^"]*)"', 1)
     found = flagged.select(key, "n", F.explode(F.array(
         F.struct(F.lit(1).alias("k"), F.when(F.col("line").rlike('"message":"*[^"]*"'), F.concat(F.lit("Error: "), value("message"))).alias("line")),
@@ -271,6 +294,34 @@ def graphql_errors(lines: DataFrame, key: str) -> DataFrame:
     return heads.unionByName(found)
 
 
+# Work items, as JSON of one member to a line: members whose values are dropped with all in them, and what stays.
+ITEM_SKIPS = ('"_links"', '"relations"', '"extensions"')
+ITEM_KEEPS = ('"System.', '"id"', '"rev"', '"url"', '"state"', '"title"')
+ITEM_LINES = ("{", "}", "},", '"fields": {')
+
+
+def work_items(lines: DataFrame, key: str) -> DataFrame:
+    """(key, n, line) of texts that begin as JSON: a heading, and the lines of work items' main fields.
+
+    A skipped member lasts until its brackets are closed: the running depth since the last line that begins one, in
+    order, returns to nothing. A member that opens nothing lasts one line. Texts without any kept line give nothing.
+    """
+    ordered = Window.partitionBy(key).orderBy("n")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    t = X.trim(F.col("line"))
+    begins = F.first(F.when(~X.is_blank(F.col("line")), X.ltrim(F.col("line")).rlike("^[{\\[]")), ignorenulls=True).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = lines.withColumn("_json", begins).where("_json").withColumn("_t", t)
+    depth = F.regexp_count("_t", F.lit("[{\\[]")) - F.regexp_count("_t", F.lit("[}\\]]"))
+    rows = rows.withColumn("_d", depth).withColumn("_skip", X.has_any(F.col("_t"), ITEM_SKIPS)).withColumn("_block", F.count_if("_skip").over(upto))
+    inside = Window.partitionBy(key, "_block").orderBy("n")
+    # within a block the depth counts from the line that begins it; the block ends with the first line at nothing or below
+    rows = rows.withColumn("_run", F.sum("_d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ended = F.coalesce(F.max((F.col("_run") <= 0).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    rows = rows.where((F.col("_block") == 0) | ended).where(X.has_any(F.col("_t"), ITEM_KEEPS) | F.col("_t").isin(*ITEM_LINES)).select(key, "n", "line")
+    heads = rows.select(key).distinct().select(key, F.lit(0).cast("long").alias("n"), F.lit("[work items: main fields kept; links, relations and extensions dropped]").alias("line"))
+    return heads.unionByName(rows)
+
+
 # How definitions begin, by language.
 SIGNATURES = {
     "rust": ("pub fn ", "fn ", "async fn ", "pub async fn ", "unsafe fn ", "pub unsafe fn ", "impl ", "trait ", "struct ", "enum ", "pub mod ", "pub use ", "pub struct ", "pub enum ", "pub trait ", "pub type ", "pub const ", "pub impl "),

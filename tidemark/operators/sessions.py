@@ -16,11 +16,11 @@ def last_calls(calls: DataFrame, session: str, order: str, most: int) -> DataFra
 
 
 def files(touched: DataFrame, session: str, order: str, most: int = 256) -> DataFrame:
-    """(session, path, first_seen, last_seen, access, rereads) of (session, order, path, access) rows; the newest ``most`` files."""
+    """(session, path, first_seen, last_seen, access, rereads) of (session, order, path, access) rows; the ``most`` files seen last."""
     seen = touched.groupBy(session, "path").agg(
         F.min(order).alias("first_seen"), F.max(order).alias("last_seen"), F.max_by("access", order).alias("access"), (F.count(F.lit(1)) - 1).alias("rereads")
     )
-    newest = Window.partitionBy(session).orderBy(F.col("first_seen").desc(), F.col("path").desc())
+    newest = Window.partitionBy(session).orderBy(F.col("last_seen").desc(), F.col("path").desc())
     return seen.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most).drop("_r")
 
 
@@ -43,39 +43,44 @@ def outcomes(test: Column) -> tuple[Column, Column]:
     return ok & ~bad, bad
 
 
+#: Lists of a summary and how many values each keeps.
+LISTS = {"investigated": 20, "errors_resolved": 128, "git_events": 64, "completed": 5, "next_steps": 5}
+
+
 def finalize(events: DataFrame, session: str, order: str) -> DataFrame:
     """One row per session of its command events (cmd, in_tk, out_tk, files, errors, git, test_summary).
 
     Token sums, distinct files, errors and commits in order, the last test result, and what is completed, next and learned.
+    The events are read once: each gives its values by list, and one value more that carries its sums. Values are reduced
+    to their first place before they meet, and ranked before they are collected.
     """
     passed, failed = outcomes(F.col("test_summary"))
-    sums = events.groupBy(session).agg(
-        F.sum("in_tk").alias("total_in"), F.sum("out_tk").alias("total_out"),
-        F.coalesce(F.max_by("test_summary", F.when(F.col("test_summary") != "", F.col(order))), F.lit("")).alias("test_summary"),
-    ).withColumn("tokens_saved", F.greatest(F.col("total_in") - F.col("total_out"), F.lit(0)))
-
-    def listed(rows: DataFrame, value: Column, name: str, most: int) -> DataFrame:
-        found = ordered_distinct(rows.withColumn("_v", value).where(F.col("_v").isNotNull()), session, "_v", order, most)
-        return found.withColumnRenamed("values", name)
-
     quiet = F.size("errors") == 0
-    done = F.explode(F.array_compact(F.array(
-        F.when(passed & (F.col("test_summary") != ""), F.left("test_summary", F.lit(80))),
-        F.when(quiet & F.col("cmd").rlike("cargo build|cargo check"), F.concat(F.lit("build OK: "), F.left("cmd", F.lit(30)))),
-        F.when(quiet & F.col("cmd").rlike("git push|git commit"), F.left("cmd", F.lit(60))),
-    )))
-    parts = [
-        listed(events, F.explode("files"), "investigated", 20),
-        listed(events, F.explode("errors"), "errors_resolved", 128),
-        listed(events, F.explode("git"), "git_events", 64),
-        listed(events, done, "completed", 5),
-        listed(events.where(failed), F.left("test_summary", F.lit(80)), "next_steps", 5),
-    ]
-    for part in parts:
-        sums = sums.join(part, session, "left")
-    none = F.array().cast("array<string>")
-    for name in ("investigated", "errors_resolved", "git_events", "completed", "next_steps"):
-        sums = sums.withColumn(name, F.coalesce(name, none))
+    cut = F.left("test_summary", F.lit(80))
+    kind = lambda name, values: F.transform(values, lambda v: F.struct(F.lit(name).alias("list"), v.alias("value")))
+    one = lambda name, condition, v: F.array(F.struct(F.when(condition, F.lit(name)).alias("list"), v.alias("value")))
+    values = F.concat(
+        F.array(F.struct(F.lit("").alias("list"), F.lit("").alias("value"))),
+        kind("investigated", F.col("files")), kind("errors_resolved", F.col("errors")), kind("git_events", F.col("git")),
+        one("completed", passed & (F.col("test_summary") != ""), cut),
+        one("completed", quiet & F.col("cmd").rlike("cargo build|cargo check"), F.concat(F.lit("build OK: "), F.left("cmd", F.lit(30)))),
+        one("completed", quiet & F.col("cmd").rlike("git push|git commit"), F.left("cmd", F.lit(60))),
+        one("next_steps", failed, cut),
+    )
+    each = events.select(session, F.col(order).alias("_o"), "in_tk", "out_tk", "test_summary", F.explode(values).alias("_x")).select("*", "_x.list", "_x.value").where("list is not null and value is not null")
+    own = F.col("list") == ""
+    first = each.groupBy(session, "list", "value").agg(
+        F.min("_o").alias("_o"), F.sum(F.when(own, F.col("in_tk"))).alias("_in"), F.sum(F.when(own, F.col("out_tk"))).alias("_out"),
+        F.max_by("test_summary", F.when(own & (F.col("test_summary") != ""), F.col("_o"))).alias("_test"),
+    )
+    most = F.expr("case list " + " ".join(f"when '{name}' then {n}" for name, n in LISTS.items()) + " else 1 end")
+    ranked = first.repartition(session).withColumn("_r", F.row_number().over(Window.partitionBy(session, "list").orderBy("_o", "value"))).where(F.col("_r") <= most)
+    values = F.sort_array(F.collect_list(F.struct("list", "_r", "value")))
+    sums = ranked.groupBy(session).agg(
+        F.max("_in").alias("total_in"), F.max("_out").alias("total_out"), F.coalesce(F.max("_test"), F.lit("")).alias("test_summary"), values.alias("_x")
+    ).withColumn("tokens_saved", F.greatest(F.col("total_in") - F.col("total_out"), F.lit(0)))
+    listed = lambda name: F.transform(F.filter("_x", lambda x: x["list"] == name), lambda x: x["value"])
+    sums = sums.select(session, "total_in", "total_out", "test_summary", "tokens_saved", *[listed(name).alias(name) for name in LISTS])
     learned = F.concat(F.transform(F.slice("errors_resolved", 1, 3), lambda e: F.left(e, F.lit(80))), F.transform("git_events", lambda g: F.concat(F.lit("git:"), F.left(g, F.lit(7)))))
     return sums.withColumn("learned", F.slice(learned, 1, 5))
 

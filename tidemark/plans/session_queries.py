@@ -32,7 +32,7 @@ def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILES = f"select user_id, path, min(call) as first_seen, max(call) as last_seen, arg_max(access, call) as access, count(*) - 1 as rereads from ({_TOUCHED}) group by user_id, path"
 
 
-@query("seen_files", f"select user_id, path, first_seen, last_seen, access, rereads from (select *, row_number() over (partition by user_id order by first_seen desc, path desc) as r from ({_FILES})) where r <= 20")
+@query("seen_files", f"select user_id, path, first_seen, last_seen, access, rereads from (select *, row_number() over (partition by user_id order by last_seen desc, path desc) as r from ({_FILES})) where r <= 20")
 def seen_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.files(touched(spark, sf_dir), "user_id", "call", 20)
 
