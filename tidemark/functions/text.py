@@ -143,8 +143,7 @@ def normalize_error(c: Column) -> Column:
 def command_name(c: Column) -> Column:
     """The program of a command: after assignments and runners, without its folder, in lower case."""
     bare = F.regexp_replace(trim(c), f"^(?:[^{WS}]*=[^{WS}]*[{WS}]+)+", "")
-    for runner in ("npx ", "bunx ", "pnpm exec ", "yarn exec "):
-        bare = F.when(bare.startswith(runner), F.substring(bare, F.lit(len(runner) + 1), F.length(bare))).otherwise(bare)
+    bare = F.regexp_replace(bare, "^(?:npx )?(?:bunx )?(?:pnpm exec )?(?:yarn exec )?", "")
     first = F.regexp_extract(bare, f"^[{WS}]*([^{WS}]*)", 1)
     return F.lower(F.regexp_extract(first, "([^/]*)$", 1))
 

@@ -29,12 +29,17 @@ def clean(lines: DataFrame) -> DataFrame:
     return bare.where(~X.is_noise(F.col("line"))).withColumn("line", X.strip_timestamp(F.col("line")))
 
 
-def dedup(lines: DataFrame, key: str, least: int = 2) -> DataFrame:
+def _often(least: Column | int) -> Column:
+    """Whether a count reaches a threshold; no threshold, none does."""
+    return F.coalesce(F.col("_c") >= least, F.lit(False))
+
+
+def dedup(lines: DataFrame, key: str, least: Column | int = 2) -> DataFrame:
     """Lines that occur ``least`` times or more in a text stay once, at their first place, with their count."""
     same = Window.partitionBy(key, "line")
     counted = lines.withColumn("_c", F.count(F.lit(1)).over(same)).withColumn("_first", F.min("n").over(same))
-    kept = counted.where((F.col("_c") < least) | (F.col("n") == F.col("_first")))
-    return kept.withColumn("line", F.when(F.col("_c") >= least, F.concat("line", F.lit("  [×"), F.col("_c").cast("string"), F.lit("]"))).otherwise(F.col("line"))).drop("_c", "_first")
+    kept = counted.where(~_often(least) | (F.col("n") == F.col("_first")))
+    return kept.withColumn("line", F.when(_often(least), F.concat("line", F.lit("  [×"), F.col("_c").cast("string"), F.lit("]"))).otherwise(F.col("line"))).drop("_c", "_first")
 
 
 def status_parts(line: Column) -> tuple[Column, Column]:
@@ -46,14 +51,14 @@ def status_parts(line: Column) -> tuple[Column, Column]:
     return prefix, F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "(?s)^(.*)/", 1)).otherwise(".")
 
 
-def group_by_dir(lines: DataFrame, key: str, least: int = 5) -> DataFrame:
+def group_by_dir(lines: DataFrame, key: str, least: Column | int = 5) -> DataFrame:
     """Lines that share prefix and folder ``least`` times or more become one, at their first place."""
     prefix, folder = status_parts(F.col("line"))
     same = Window.partitionBy(key, "_group")
     counted = lines.withColumn("_group", F.concat(prefix, folder)).withColumn("_c", F.count(F.lit(1)).over(same)).withColumn("_first", F.min("n").over(same))
-    kept = counted.where((F.col("_c") < least) | (F.col("n") == F.col("_first")))
+    kept = counted.where(~_often(least) | (F.col("n") == F.col("_first")))
     grouped = F.concat("_group", F.lit("/  "), F.col("_c").cast("string"), F.lit(" modified  [grouped]"))
-    return kept.withColumn("line", F.when(F.col("_c") >= least, grouped).otherwise(F.col("line"))).drop("_group", "_c", "_first")
+    return kept.withColumn("line", F.when(_often(least), grouped).otherwise(F.col("line"))).drop("_group", "_c", "_first")
 
 
 def grep_file(line: Column) -> Column:
@@ -63,10 +68,11 @@ def grep_file(line: Column) -> Column:
     return F.when(usable, head)
 
 
-def collapse_hits(lines: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """Hits of a file with ``least`` or more become one line with their number."""
+def collapse_hits(lines: DataFrame, key: str, least: int = 5, where: Column | None = None) -> DataFrame:
+    """Hits of a file with ``least`` or more become one line with their number, in texts ``where`` that is asked for."""
     same = Window.partitionBy(key, "_file")
-    counted = lines.withColumn("_file", grep_file(F.col("line"))).withColumn("_c", F.count(F.lit(1)).over(same)).withColumn("_first", F.min("n").over(same))
+    file = grep_file(F.col("line"))
+    counted = lines.withColumn("_file", file if where is None else F.when(where, file)).withColumn("_c", F.count(F.lit(1)).over(same)).withColumn("_first", F.min("n").over(same))
     large = F.col("_file").isNotNull() & (F.col("_c") >= least)
     kept = counted.where(~large | (F.col("n") == F.col("_first")))
     return kept.withColumn("line", F.when(large, F.concat("_file", F.lit(": "), F.col("_c").cast("string"), F.lit(" matches [collapsed]"))).otherwise(F.col("line"))).drop("_file", "_c", "_first")
@@ -271,6 +277,72 @@ def run_rule(lines: DataFrame, key: str, rule: Rule) -> DataFrame:
     return truncate(out, key, rule.limit, rule.tail)
 
 
+def _argument(cmd: Column, test) -> Column:
+    """Whether an argument that is no flag passes a test."""
+    return F.exists(F.slice(X.tokens(cmd), 2, 1 << 20), lambda w: ~w.startswith("-") & test(F.lower(w)))
+
+
+def variant_of(cmd: Column, handler: Column) -> Column:
+    """The rule that a command's output goes through: its handler's, or one of several that its handler has."""
+    name = F.regexp_extract(F.regexp_extract(X.ltrim(cmd), f"^([^{X.WS}]*)", 1), "([^/]*)$", 1)
+    has = lambda word: F.contains(cmd, F.lit(word))
+    logs = _argument(cmd, lambda w: w.endswith(".log") | w.endswith(".out") | w.endswith(".err"))
+    git = F.when(has("log"), "git_log").when(has("diff"), "git_diff").otherwise("git")
+    fs = (
+        F.when(X.ltrim(cmd).startswith("env") | has("printenv"), "fs_env").when((name == "tail") | (name.isin("cat", "less", "more", "bat") & logs), "fs_tail")
+        .when(name.isin(*VIEWERS), "fs_view").otherwise("fs")
+    )
+    return (
+        F.when(handler == "git", git).when(handler == "fs", fs).when((handler == "database") & has("prisma") & has("generate"), "prisma_generate")
+        .when((handler == "data_tool") & (name == "terraform"), "terraform").when((handler == "data_tool") & (name == "helm"), "helm")
+        .when((handler == "build") & (name == "xcodebuild"), "xcodebuild").when((handler == "cloud") & (has("az boards") | has("az repos")) & ~has("az repos pr list"), "items").otherwise(handler)
+    )
+
+
+def variants() -> dict[str, Rule]:
+    """The rules by variant, each made from a command that stands for it."""
+    stand_for = {
+        "git_log": ("git", "git log"), "git_diff": ("git", "git diff"), "fs_env": ("fs", "env"), "fs_tail": ("fs", "tail x"), "fs_view": ("fs", "cat x"), "fs": ("fs", "ls"),
+        "prisma_generate": ("database", "prisma generate"), "terraform": ("data_tool", "terraform plan"), "helm": ("data_tool", "helm list"), "data_tool": ("data_tool", "jq ."),
+        "xcodebuild": ("build", "xcodebuild"), "items": ("cloud", "az boards"),
+    }
+    plain = ("git", "docker", "package_mgr", "test_runner", "playwright", "typescript", "build", "next_build", "wrangler", "cloud", "database", "network", "runtime", "text_proc", "generic")
+    return {name: rule_for(*stand_for.get(name, (name, name))) for name in (*stand_for, *plain)}
+
+
+def run_mixed(lines: DataFrame, key: str, cmd: str = "cmd") -> DataFrame:
+    """Lines (key, n, line, cmd) of outputs of all kinds of commands through their handlers, in one plan.
+
+    A small table of rules, one row for each variant, is joined by the command's variant: what is cleaned, and the
+    thresholds of dedup, grouping and truncation, are its columns. GraphQL errors and work items, which replace a text,
+    are taken out first. Generators of one row keep the optimizer from copying variants and cleaned lines into each test.
+    """
+    rules = variants()
+    table = lines.sparkSession.createDataFrame(
+        [(name, r.cleans, r.hits, r.graphql, r.items, r.dedup, r.group, r.limit, r.tail) for name, r in rules.items()],
+        "_v string, _cleans boolean, _hits boolean, _graphql boolean, _items boolean, _dedup int, _grouped int, _limit int, _tail boolean",
+    )
+    own = [c for c in lines.columns if c != cmd]
+    handled = lines.withColumn("_h", F.explode(F.array(handler_of(F.col(cmd)))))
+    rows = handled.withColumn("_v", F.explode(F.array(variant_of(F.col(cmd), F.col("_h"))))).join(F.broadcast(table), "_v").drop(cmd, "_h")
+    done = graphql_errors(rows.where("_graphql").select(own), key).unionByName(work_items(rows.where("_items").select(own), key))
+    rows = rows.join(done.select(key).distinct(), key, "left_anti")
+    bare = rows.withColumn("_b", F.explode(F.array(F.when(F.col("_cleans"), F.replace(X.strip_ansi(F.col("line")), F.lit("\r"), F.lit(""))).otherwise(F.col("line")))))
+    clear = bare.where(~(F.col("_cleans") & X.is_noise(F.col("_b")))).drop("line")
+    rows = clear.withColumn("line", F.explode(F.array(F.when(F.col("_cleans"), X.strip_timestamp(F.col("_b"))).otherwise(F.col("_b"))))).drop("_b")
+    line = F.col("line")
+    stays = F.lit(True)
+    for name, rule in rules.items():
+        tests = [*([rule.keep(line)] if rule.keep else []), *([~rule.drop(line)] if rule.drop else [])]
+        if tests:
+            stays = F.when(F.col("_v") == name, tests[0] if len(tests) == 1 else tests[0] & tests[1]).otherwise(stays)
+    rows = rows.where(stays).repartition(key)
+    rows = collapse_hits(rows, key, where=F.col("_hits"))
+    rows = dedup(rows, key, F.col("_dedup"))
+    rows = group_by_dir(rows, key, F.col("_grouped"))
+    return truncate(rows, key, F.col("_limit"), F.col("_tail")).select(own).unionByName(done)
+
+
 def _has_error(line: Column) -> Column:
     return F.contains(line, F.lit('"errors"')) & F.contains(line, F.lit('"message"'))
 
@@ -317,7 +389,7 @@ def work_items(lines: DataFrame, key: str) -> DataFrame:
     # within a block the depth counts from the line that begins it; the block ends with the first line at nothing or below
     rows = rows.withColumn("_run", F.sum("_d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     ended = F.coalesce(F.max((F.col("_run") <= 0).cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    rows = rows.where((F.col("_block") == 0) | ended).where(X.has_any(F.col("_t"), ITEM_KEEPS) | F.col("_t").isin(*ITEM_LINES)).select(key, "n", "line")
+    rows = rows.withColumn("_ended", ended).where((F.col("_block") == 0) | F.col("_ended")).where(X.has_any(F.col("_t"), ITEM_KEEPS) | F.col("_t").isin(*ITEM_LINES)).select(key, "n", "line")
     heads = rows.select(key).distinct().select(key, F.lit(0).cast("long").alias("n"), F.lit("[work items: main fields kept; links, relations and extensions dropped]").alias("line"))
     return heads.unionByName(rows)
 

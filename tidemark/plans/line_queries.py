@@ -152,6 +152,69 @@ for _name, (_handler, _cmd, _sql) in _HANDLERS.items():
     query(f"handler_{_name}", _sql)(_handler_query(_handler, _cmd))
 
 
+_GRAPHQL = "select conv_id as k, turn as n, case turn % 3 when 0 then '{\"errors\":[{\"message\":\"bad ' || turn || '\",\"code\":\"E' || conv_id || '\"}]}' when 1 then '\"code\":\"X' || turn || '\"' else text end as line from conversations"
+_GRAPHQL_ERRORS = f"""
+with c as ({O.clean(_GRAPHQL)}), flagged as (select * from c where k in (select k from c where contains(line, '"errors"') and contains(line, '"message"')))
+select k as conv_id, 0 as n, '[GraphQL Error]' as line from flagged group by k union all
+select k, n * 2, 'Error: ' || regexp_extract(line, '"message":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"message":"*[^"]*"') union all
+select k, n * 2 + 1, 'Code: ' || regexp_extract(line, '"code":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"code":"*[^"]*"')
+"""
+_GRAPHQL_FLAGGED = f"select k from ({O.clean(_GRAPHQL)}) where contains(line, '\"errors\"') and contains(line, '\"message\"')"
+
+
+#: which of the statements above each of the fixture's commands goes through
+_MIXED = (
+    "git_log", "git_diff", "git_status", "docker", "package_mgr", "test_runner", "package_mgr", "playwright", "typescript", "build",
+    "next_build", "wrangler", "cloud", "database", "network", "runtime", "fs_list", "fs_env", "fs_tail", "fs_view",
+    "terraform", "helm", "json_tool", "text_proc", "git_status", "text_proc", "test_runner", "test_runner", "package_mgr", "build", "generic", "generic",
+)
+
+
+def _mixed_sql() -> str:
+    by = {name: sql for name, (_, _, sql) in _HANDLERS.items()} | {"fs_view": O.truncate(_CLEAN, 50, False)}
+    parts = []
+    for name in sorted(set(_MIXED)):
+        at = ", ".join(str(i) for i, x in enumerate(_MIXED) if x == name)
+        parts.append(f"select k, n, line from ({by[name].replace(_EVENTS, f'select k, n, line from ev where k % {len(_MIXED)} in ({at})')})")
+    return f"with ev as ({_EVENTS}) " + " union all ".join(parts)
+
+
+@query("handler_mixed", _mixed_sql())
+def handler_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output of all kinds of commands, each session's of its own, in one plan."""
+    return L.run_mixed(event_lines(spark, sf_dir).withColumn("cmd", F.expr(command_sql("k"))), "k")
+
+
+@query("handler_network_graphql", f"""
+select conv_id, n, line from ({_GRAPHQL_ERRORS}) union all
+select k, n, line from ({O.truncate(O.where(O.clean(f"select * from ({_GRAPHQL}) where k not in ({_GRAPHQL_FLAGGED})"), "not starts_with(line, '< ') or starts_with(line, '< HTTP')"), 60, False)})
+""")
+def handler_network_graphql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with errors give these, others their first lines without headers."""
+    return L.run_rule(_answers(spark, sf_dir), "conv_id", L.rule_for("network", "curl x"))
+
+
+_ITEM = (
+    "{", '  "id": 7,', '  "rev": 3,', '  "fields": {', '    "System.Title": "one",', '    "Custom.Size": 4', "  },", '  "_links": {', '    "self": {', '      "id": 9', "    }", "  },", '  "relations": null,',
+    '  "url": "x"', "}", "tail line",
+)
+_ITEM_KEPT = (1, 2, 3, 4, 5, 7, 14, 15)
+_ITEMS = f"select conv_id as k, turn * 100 + i as n, [{', '.join(map(O.quoted, _ITEM))}][i] as line from conversations, unnest(range(1, {len(_ITEM) + 1})) as t(i) where turn = 0 and conv_id % 3 <> 0 union all select conv_id, turn, text from conversations where conv_id % 3 = 0"
+
+
+@query("handler_work_items", f"""
+select k, n, line from ({_ITEMS}) where k % 3 <> 0 and n in ({', '.join(map(str, _ITEM_KEPT))}) union all
+select k, 0, '[work items: main fields kept; links, relations and extensions dropped]' from ({_ITEMS}) where k % 3 <> 0 group by k union all
+select k, n, line from ({O.truncate(O.where(O.clean(f"select * from ({_ITEMS}) where k % 3 = 0"), "not starts_with(line, '---')"), 100, False)})
+""")
+def handler_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work items as JSON, and tables of them for every third conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    items = turns.where("turn = 0 and conv_id % 3 <> 0").select(F.col("conv_id").alias("k"), F.posexplode(F.array(*map(F.lit, _ITEM))).alias("n", "line")).withColumn("n", (F.col("n") + 1).cast("long"))
+    plain = turns.where("conv_id % 3 = 0").select(F.col("conv_id").alias("k"), F.col("turn").alias("n"), F.col("text").alias("line"))
+    return L.run_rule(items.unionByName(plain), "k", L.rule_for("cloud", "az boards work-item show"))
+
+
 _NAME = f"lower(regexp_extract(regexp_replace(regexp_replace(cmd, '^([^ ]*=[^ ]* +)+', ''), '^(npx |bunx |pnpm exec |yarn exec )', ''), '^([^ ]*/)?([^ /]*)', 2))"  # noqa: F541
 _DISPATCH = " ".join(f"when name in ({', '.join(map(O.quoted, names))}) then '{h}'" for h, names in L.HANDLERS.items())
 
@@ -191,19 +254,15 @@ def signature_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.signatures(files.withColumn("line", text), "doc_id", "python")
 
 
-_GRAPHQL = "select conv_id as k, turn as n, case turn % 3 when 0 then '{\"errors\":[{\"message\":\"bad ' || turn || '\",\"code\":\"E' || conv_id || '\"}]}' when 1 then '\"code\":\"X' || turn || '\"' else text end as line from conversations"
-
-
-@query("graphql_errors", f"""
-with c as ({O.clean(_GRAPHQL)}), flagged as (select * from c where k in (select k from c where contains(line, '"errors"') and contains(line, '"message"')))
-select k as conv_id, 0 as n, '[GraphQL Error]' as line from flagged group by k union all
-select k, n * 2, 'Error: ' || regexp_extract(line, '"message":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"message":"*[^"]*"') union all
-select k, n * 2 + 1, 'Code: ' || regexp_extract(line, '"code":"*([^"]*)"', 1) from flagged where regexp_matches(line, '"code":"*[^"]*"')
-""")
+@query("graphql_errors", _GRAPHQL_ERRORS)
 def graphql_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of all conversations."""
+    return L.graphql_errors(_answers(spark, sf_dir), "conv_id")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     turn = F.col("turn").cast("string")
     error = F.concat(F.lit('{"errors":[{"message":"bad '), turn, F.lit('","code":"E'), F.col("conv_id").cast("string"), F.lit('"}]}'))
     line = F.when(F.col("turn") % 3 == 0, error).when(F.col("turn") % 3 == 1, F.concat(F.lit('"code":"X'), turn, F.lit('"'))).otherwise(F.col("text"))
-    return L.graphql_errors(turns.select("conv_id", F.col("turn").alias("n"), line.alias("line")), "conv_id")
+    return turns.select("conv_id", F.col("turn").alias("n"), line.alias("line"))
