@@ -108,7 +108,7 @@ def line_compressor(locale: Locale, ultra: bool) -> Callable[[str], str]:
     return run
 
 
-_TABLE = re.compile(r"\s*\|.*\|\s*", re.S)
+_TABLE = re.compile(r"\s*\|.*\|.*", re.S)
 _PROTECTED = re.compile(r"\s*(?:\Z|#|<!--|>|---|===)")
 
 
@@ -146,7 +146,8 @@ def fences(text: Column) -> Column:
 
 
 def links(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("https?://"))
+    # a link's text belongs to it, whatever it holds
+    return F.regexp_count(text, F.lit(f'https?://[^{X.WS})\\]"]*'))
 
 
 def headings(text: Column) -> Column:
@@ -164,7 +165,7 @@ def fence_state(lines: DataFrame, key: str) -> DataFrame:
     before = F.coalesce(F.sum(fence.cast("int")).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bare = X.trim(F.col("line"))
     protected = (bare == "") | bare.rlike("^(?:#|<!--|>|---|===)")
-    kind = F.when(fence, "fence").when(before % 2 == 1, "code").when(bare.rlike("(?s)^\\|.*\\|$"), "table").when(protected, "protected").otherwise("prose")
+    kind = F.when(fence, "fence").when(before % 2 == 1, "code").when(bare.rlike("(?s)^\\|.*\\|"), "table").when(protected, "protected").otherwise("prose")
     return lines.withColumn("kind", kind)
 
 
@@ -175,6 +176,41 @@ def collapse_blank(lines: DataFrame, key: str) -> DataFrame:
     return lines.withColumn("_again", blank & again).where("not _again").drop("_again").withColumn("line", F.when(blank, "").otherwise(F.col("line")))
 
 
-def prompt_budget(text: Column, most_tokens: int, notice: str = "\n[... cut]") -> Column:
+def safely_compressed(rows: DataFrame, text: str, locale: str = "en", ultra: bool = False) -> DataFrame:
+    """``rows`` with out, the compressed text where that is safe and else the text itself, and safe. The text stays as it was."""
+    made = rows.withColumn("_out", compressed(F.col(text), locale, ultra)).withColumn("safe", F.explode(F.array(is_safe(F.col(text), F.col("_out")))))
+    return made.withColumn("out", F.when(F.col("safe"), F.col("_out")).otherwise(F.col(text))).drop("_out")
+
+
+def cut_to(text: Column, most_tokens: int, notice: str = "\n[... cut]") -> Column:
     """Texts over the budget in characters / 4 are cut to fit it with a notice."""
     return F.when(F.floor(F.char_length(text) / 4) > most_tokens, F.concat(F.left(text, F.lit(most_tokens * 4 - len(notice))), F.lit(notice))).otherwise(text)
+
+
+def prompt_budget(rows: DataFrame, text: str, most_tokens: int = 2000, locale: str = "en") -> DataFrame:
+    """``rows`` with the text brought into a budget: as it is if it fits, else compressed in full, else that cut with a notice.
+
+    No budget, 0, leaves all as they are. Only texts over the budget are compressed.
+    """
+    if not most_tokens:
+        return rows
+    over = F.floor(F.char_length(text) / 4) > most_tokens
+    large = safely_compressed(rows.where(over), text, locale, ultra=True)
+    fitted = large.withColumn(text, cut_to(F.col("out"), most_tokens)).select(rows.columns)
+    return rows.where(~F.coalesce(over, F.lit(False))).unionByName(fitted)
+
+
+def replaced_prompt(before: Column, after: Column) -> Column:
+    """A prompt's compressed form if there is one and it is shorter."""
+    return F.when((F.length(after) > 0) & (F.length(after) < F.length(before)), after).otherwise(before)
+
+
+def memory_warning(text: Column, name: Column, most_tokens: int, start: str = "<!-- tidemark:start -->", end: str = "<!-- tidemark:end -->") -> Column:
+    """What to say of a notes file of over ``most_tokens`` bytes / 4, less a block of ours at its begin; null of others or without a limit."""
+    if not most_tokens:
+        return F.lit(None).cast("string")
+    at = F.instr(text, end)
+    rest = F.regexp_replace(F.substring(text, at + len(end), F.length(text)), "\\A\n", "")
+    own = F.when(text.startswith(start) & (at > 0), rest).otherwise(text)
+    size = F.floor(F.octet_length(own) / 4)
+    return F.when(size > most_tokens, F.concat(name, F.lit(" is ~"), size.cast("string"), F.lit(f" tokens (> {most_tokens} recommended)")))

@@ -210,19 +210,19 @@ def tool_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", sources.result_content(F.col("json")).alias("content")).withColumn("n_chars", F.char_length("content"))
 
 
-_MD = "select doc_id, case doc_id % 3 when 0 then '# Title' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || 'the code' || chr(10) || '```' || chr(10) || text when 1 then '| a | b |' || chr(10) || 'see https://x.example/a the end' || chr(10) || '  ' || chr(10) || chr(10) || text else '- the item' || chr(10) || '> quote' || chr(10) || text end as text from documents"
+_MD = "select doc_id, case doc_id % 3 when 0 then '# Title' || chr(10) || chr(10) || chr(10) || '```' || chr(10) || 'the code' || chr(10) || '```' || chr(10) || text when 1 then '| a | b' || chr(10) || 'see https://x.example/a?to=http://y.example/b the end' || chr(10) || '  ' || chr(10) || chr(10) || text else '- the item' || chr(10) || '> quote' || chr(10) || text end as text from documents"
 _MD_LINES = f"select doc_id as k, i as n, ls[i] as line from (select doc_id, string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') as ls from ({_MD})), unnest(range(1, len(ls) + 1)) as t(i)"
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     nl = "\n"
-    heads = [f"# Title{nl}{nl}{nl}```{nl}the code{nl}```{nl}", f"| a | b |{nl}see https://x.example/a the end{nl}  {nl}{nl}", f"- the item{nl}> quote{nl}"]
+    heads = [f"# Title{nl}{nl}{nl}```{nl}the code{nl}```{nl}", f"| a | b{nl}see https://x.example/a?to=http://y.example/b the end{nl}  {nl}{nl}", f"- the item{nl}> quote{nl}"]
     head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 3 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("text"))
 
 
 @query("fence_state", f"""
-select k as doc_id, n, case when starts_with(h, '```') then 'fence' when before % 2 = 1 then 'code' when regexp_full_match(t, '(?s)\\|.*\\|') then 'table' when t = '' or regexp_matches(t, '^(#|<!--|>|---|===)') then 'protected' else 'prose' end as kind
+select k as doc_id, n, case when starts_with(h, '```') then 'fence' when before % 2 = 1 then 'code' when regexp_matches(t, '(?s)^\\|.*\\|') then 'table' when t = '' or regexp_matches(t, '^(#|<!--|>|---|===)') then 'protected' else 'prose' end as kind
 from (select *, coalesce(sum(case when starts_with(h, '```') then 1 else 0 end) over (partition by k order by n rows between unbounded preceding and 1 preceding), 0) as before
   from (select *, {O.ltrim('line')} as h, {O.trim('line')} as t from ({_MD_LINES})))
 """)
@@ -236,7 +236,7 @@ def blank_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("md_counters", f"""
-select k as doc_id, (count(*) filter (where starts_with(h, '```')) // 2)::int as fences, sum(len(regexp_extract_all(line, 'https?://')))::int as links, count(*) filter (where starts_with(h, '#'))::int as headings from (select *, {O.ltrim('line')} as h from ({_MD_LINES})) group by k
+select k as doc_id, (count(*) filter (where starts_with(h, '```')) // 2)::int as fences, sum(len(regexp_extract_all(line, 'https?://[^{O.WS})\\]\"]*')))::int as links, count(*) filter (where starts_with(h, '#'))::int as headings from (select *, {O.ltrim('line')} as h from ({_MD_LINES})) group by k
 """)
 def md_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
@@ -269,9 +269,47 @@ def prose_compress_ultra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown(spark, sf_dir).select("doc_id", prose.compressed(F.col("text"), ultra=True).alias("text"))
 
 
-@query("prompt_budget", "select doc_id, case when length(text) // 4 > 200 then left(text, 790) || chr(10) || '[... cut]' else text end as text from documents")
+#: prose without any word that compression drops or shortens: cutting alone decides
+_DIGITS = "select doc_id, regexp_replace(text, '[^0-9\\n]+', '7', 'g') as text from documents"
+
+
+@query("prompt_budget", f"select doc_id, case when length(text) // 4 > 100 then left(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), 390) || chr(10) || '[... cut]' else text end as text from (select doc_id, text || repeat('9', case when length(text) // 4 > 100 then 400 else 0 end) as text from ({_DIGITS}))")
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", prose.prompt_budget(F.col("text"), 200).alias("text"))
+    """Prompts of digits and line ends: those over the budget are compressed first, which only joins blank lines, and then cut."""
+    bare = F.regexp_replace("text", "[^0-9\n]+", "7")
+    text = F.concat(bare, F.when(F.floor(F.char_length(bare) / 4) > 100, F.lit("9" * 400)).otherwise(""))
+    return prose.prompt_budget(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "text", 100)
+
+
+@query("prompt_replacement", f"select doc_id, case when doc_id % 2 = 0 and length(text) > 5 then '12345' else text end as prompt from ({_DIGITS})")
+def prompt_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts are replaced by a shorter form, and not by an empty one."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^0-9\n]+", "7").alias("text"))
+    after = F.when(F.col("doc_id") % 2 == 0, "12345").otherwise("")
+    return rows.select("doc_id", prose.replaced_prompt(F.col("text"), after).alias("prompt"))
+
+
+_NOTES = "select doc_id, case when doc_id % 2 = 0 then '<!-- tidemark:start -->' || repeat('x', 500) || '<!-- tidemark:end -->' || chr(10) else '' end || text as text, text as own from documents"
+
+
+@query("memory_size_warning", f"select doc_id, 'NOTES.md is ~' || (strlen(own) // 4) || ' tokens (> 200 recommended)' as warning from ({_NOTES}) where strlen(own) // 4 > 200")
+def memory_size_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes files that are too long, a block of ours at their begin not counted."""
+    block = F.when(F.col("doc_id") % 2 == 0, "<!-- tidemark:start -->" + "x" * 500 + "<!-- tidemark:end -->\n").otherwise("")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(block, "text").alias("text"))
+    return rows.select("doc_id", prose.memory_warning(F.col("text"), F.lit("NOTES.md"), 200).alias("warning")).where("warning is not null")
+
+
+@query("prose_safe")
+def prose_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed texts, and the texts themselves where compression isn't safe."""
+    return prose.safely_compressed(markdown(spark, sf_dir), "text", ultra=True).select("doc_id", F.col("out").alias("text"), "safe")
+
+
+@query("prose_compress_pt")
+def prose_compress_pt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the Portuguese word lists, in full."""
+    return markdown(spark, sf_dir).select("doc_id", prose.compressed(F.col("text"), "pt-BR", ultra=True).alias("text"))
 
 
 @query("spawn_line_strip", f"select k as doc_id, n, line from ({_MD_LINES}) where not contains(line, 'Agent(Explore)') and not contains(line, 'Agent(Plan)') and not contains(line, 'Sub-agent')")
