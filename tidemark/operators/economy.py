@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import SCALED, TIERS, Config
+from tidemark.functions import text as X
 
 
 def running_totals(calls: DataFrame, session: str, order: str, tokens: str = "tokens") -> DataFrame:
@@ -86,6 +87,43 @@ def first_crossing(rows: DataFrame, session: str, order: str, threshold: int) ->
     return rows.where(F.col("used") >= threshold).groupBy(session).agg(F.min(order).alias("first_call"), F.min("used").alias("used"))
 
 
+def warnings(rows: DataFrame, session: str, order: str, budget: int, compact_at: int, state_warn_calls: int) -> DataFrame:
+    """(session, call, warning): each of two warnings once, of ``rows`` (used, remaining).
+
+    compact at the first call that reaches its threshold; state at the first other call at nine tenths of the budget or
+    with few calls left. The call that gives the first doesn't give the second.
+    """
+    crossing = F.when(F.col("used") >= compact_at, F.col(order))
+    marked = rows.withColumn("_compact", F.min(crossing).over(Window.partitionBy(session)))
+    critical = (F.expr(f"used * 100 div {max(budget, 1)}") >= 90) | F.coalesce(F.col("remaining") <= state_warn_calls, F.lit(False))
+    marked = marked.withColumn("_state", F.min(F.when(critical & ~F.col(order).eqNullSafe(F.col("_compact")), F.col(order))).over(Window.partitionBy(session)))
+    kinds = F.when(F.col(order) == F.col("_compact"), "compact").when(F.col(order) == F.col("_state"), "state")
+    return marked.select(session, F.col(order).alias("call"), kinds.alias("warning")).where("warning is not null")
+
+
+def calls_through(rows: DataFrame, session: str, order: str, config: Config) -> DataFrame:
+    """``rows`` (n_lines, benign, in_tk, out_tk) with what each call goes through, in order: its tier by what the session
+    used before it, the threshold of that tier, whether and how it is summarized, and the whole per cent saved.
+    """
+    before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("used_before", F.coalesce(F.sum("out_tk").over(before), F.lit(0)).cast("long")).withColumn("tier", tier(F.col("used_before"), config))
+    limits = scaled_limits(rows, "tier", config)
+    long = F.col("n_lines") > F.when(F.col("benign"), 2 * F.col("summarize_threshold_lines")).otherwise(F.col("summarize_threshold_lines"))
+    form = F.when(long & (F.col("tier") == "ultra"), "structured").when(long, "prose").otherwise("handler")
+    return limits.withColumn("form", form).withColumn("saved_pct", X.reduction_pct(F.col("in_tk"), F.col("out_tk")))
+
+
+def bypassed(cmd: Column, config: Config) -> Column:
+    """Commands that pass untouched: those with a prefix of the configured ones."""
+    return F.lit(False) if not config.bypass else X.any_of([cmd.startswith(p) for p in config.bypass])
+
+
+def handled(cmd: Column, plan_mode: Column, config: Config) -> Column:
+    """Whether a command's output is touched at all: not if the library is off, it is passed by, or it is run to plan."""
+    passes = bypassed(cmd, config) | (plan_mode if config.plan_mode_passthrough else F.lit(False))
+    return ~passes if config.enabled else F.lit(False)
+
+
 def profile(reduction_pct: Column, passed: Column, total: Column) -> Column:
     return F.when((reduction_pct > 70) & (passed == total), "aggressive").when(reduction_pct > 50, "balanced").otherwise("conservative")
 

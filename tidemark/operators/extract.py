@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.config import Config
 from tidemark.functions import text as X
+from tidemark.sources.events import result_content
 
 
 def first_lines(lines: DataFrame, key: str, value: Column, name: str, most: int) -> DataFrame:
@@ -67,12 +69,7 @@ LANGUAGES = {
 
 def viewed_file(cmd: Column) -> tuple[Column, Column]:
     """The file that a viewer command shows, and the language of its code; null for other commands and extensions."""
-    name = X.command_name(cmd)
-    rest = F.regexp_replace(X.trim(cmd), f"^[^{X.WS}]+[{X.WS}]*", "")
-    # a count's number goes with its flag
-    bare = F.regexp_replace(rest, f"(?:^|(?<=[{X.WS}]))-[nc][{X.WS}]+[^{X.WS}]+[{X.WS}]*", "")
-    path = F.element_at(F.filter(X.tokens(bare), lambda t: ~t.startswith("-")), 1)
-    path = F.when(name.isin("cat", "head", "tail", "less", "more", "bat") & (F.size(F.filter(X.tokens(bare), lambda t: ~t.startswith("-"))) > 0), path)
+    path = viewed_path(cmd)
     kind = F.regexp_extract(path, "[^/.][^/]*\\.([^./]+)$", 1)
     lang = F.lit(None).cast("string")
     for language, kinds in LANGUAGES.items():
@@ -80,6 +77,40 @@ def viewed_file(cmd: Column) -> tuple[Column, Column]:
     return path, lang
 
 
+def viewed_path(cmd: Column) -> Column:
+    name = X.command_name(cmd)
+    rest = F.regexp_replace(X.trim(cmd), f"^[^{X.WS}]+[{X.WS}]*", "")
+    # a count's number goes with its flag
+    bare = F.regexp_replace(rest, f"(?:^|(?<=[{X.WS}]))-[nc][{X.WS}]+[^{X.WS}]+[{X.WS}]*", "")
+    path = F.element_at(F.filter(X.tokens(bare), lambda t: ~t.startswith("-")), 1)
+    return F.when(name.isin("cat", "head", "tail", "less", "more", "bat") & (F.size(F.filter(X.tokens(bare), lambda t: ~t.startswith("-"))) > 0), path)
+
+
+def markdown_target(cmd: Column) -> Column:
+    """The Markdown file that a viewer command shows."""
+    path = viewed_path(cmd)
+    return F.when(F.lower(F.regexp_extract(path, "[^/.][^/]*\\.([^./]+)$", 1)) == "md", path)
+
+
+def view_mode(cmd: Column, n_lines: Column, config: Config) -> Column:
+    """How a file system command's output is shown: by signatures, as compressed Markdown, or by the handler's rule."""
+    _, lang = viewed_file(cmd)
+    out = F.lit("rule")
+    if config.auto_compress_md:
+        out = F.when(markdown_target(cmd).isNotNull(), "markdown").otherwise(out)
+    return F.when(lang.isNotNull() & (n_lines >= config.sig_mode_threshold_lines), "signatures").otherwise(out) if config.sig_mode_enabled else out
+
+
+def tracked(results: DataFrame, session: str, order: str, json: str) -> DataFrame:
+    """(session, call_n, files, errors, tokens) of tool results as JSON: given files first, then those named in the content."""
+    rows = results.withColumn("call_n", F.row_number().over(Window.partitionBy(session).orderBy(order)).cast("long"))
+    rows = rows.withColumn("_c", F.explode(F.array(F.coalesce(result_content(F.col(json)), F.lit("")))))
+    given = F.array_compact(F.array(F.get_json_object(json, "$.tool_input.file_path"), F.get_json_object(json, "$.tool_input.path")))
+    hits = F.filter(X.lines(F.col("_c")), lambda line: X.starts_any(X.ltrim(line), X.ERROR_STARTS))
+    errors_ = F.transform(F.slice(hits, 1, 3), lambda line: F.left(X.trim(line), F.lit(120)))
+    return rows.select(session, "call_n", F.array_distinct(F.concat(given, X.paths(F.col("_c")))).alias("files"), errors_.alias("errors"), F.floor(F.octet_length("_c") / 4).alias("tokens"))
+
+
 def is_streaming(cmd: Column) -> Column:
     """Commands that follow their input."""
     words = X.tokens(cmd)

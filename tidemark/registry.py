@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from tidemark.plans import economy_queries, extract_queries, line_queries, session_queries  # noqa: F401
+    from tidemark.plans import economy_queries, extract_queries, history_queries, line_queries, report_queries, session_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import file_system
+
 EVENT = "type string, cmd string, tool string, in_tk bigint, out_tk bigint, tokens_est bigint, files array<string>, errors array<string>, git array<string>, test_summary string, log string, status string, ts bigint"
 SUMMARY = (
     "date string, duration_min bigint, tokens_saved bigint, files_touched array<string>, files_committed array<string>, test_summary string, errors_resolved array<string>, git_events array<string>, ts bigint, "
@@ -34,7 +36,9 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Adds events as JSON lines."""
+    """Adds events as JSON lines. Names that lead elsewhere are refused."""
+    if ".." in path.split("/"):
+        raise ValueError(path)
     events.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
@@ -43,6 +47,19 @@ def append_summaries(summaries: DataFrame, path: str) -> None:
     summaries.write.mode("append").partitionBy("date").parquet(path)
 
 
+def read_summary_table(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries of a table by date; such without valid_from begin at their time."""
+    rows = spark.read.parquet(path)
+    rows = rows.withColumn("date", F.col("date").cast("string"))
+    return rows.withColumn("valid_from", F.when(F.coalesce("valid_from", F.lit(0)) == 0, F.col("ts")).otherwise(F.col("valid_from")))
+
+
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Has a folder go when the driver ends."""
+    at, files = file_system(spark, path)
+    files.deleteOnExit(at)
+
+
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file as one text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
