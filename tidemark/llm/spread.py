@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import file_system, shared_folder
+
 #: Bits of the largest bitmap that is sent to the executors (8 MB); beyond it more rows pass, none is lost.
 MAX_BITS = 1 << 26
 
@@ -26,26 +26,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one of this machine if all runs on it, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        global _own
-        folder = _own = _own or tempfile.mkdtemp(prefix="shared-")
-    return folder
-
-
-_own = None
-
-
-def _at(spark: SparkSession, path: str):
-    """A path and its file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def table(df: DataFrame) -> DataFrame:
     """``df`` written as compressed columns in the shared folder and read from there.
 
@@ -53,7 +33,7 @@ def table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    at, files = _at(spark, path)
+    at, files = file_system(spark, path)
     files.deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,7 +44,7 @@ def table(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Removes tables that nothing will read again."""
     for df in tables:
-        at, files = _at(df.sparkSession, df._table)
+        at, files = file_system(df.sparkSession, df._table)
         files.delete(at, True)
         files.cancelDeleteOnExit(at)
 
