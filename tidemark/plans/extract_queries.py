@@ -9,6 +9,7 @@ from tidemark.functions import hashing
 from tidemark.functions import text as X
 from tidemark.operators import extract, similarity
 from tidemark.plans import oracle as O
+from tidemark.plans import stated as V
 from tidemark.plans.fixtures import command_sql, event_lines, event_lines_sql, table
 from tidemark.registry import query
 
@@ -39,7 +40,7 @@ def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OUTPUT = f"select k, string_agg(line, chr(10) order by n) as text from ({event_lines_sql()}) group by k"
 
 
-_ERRORS = f"select k, array_to_string(list(left({O.trim('line')}, 120) order by n)[:3], '|') as errors from ({event_lines_sql()}) where {O.starts(O.ltrim('line'), X.ERROR_STARTS)} group by k"
+_ERRORS = f"select k, array_to_string(list(left({O.trim('line')}, 120) order by n)[:3], '|') as errors from ({event_lines_sql()}) where {O.starts(O.ltrim('line'), V.ERROR_STARTS)} group by k"
 
 
 @query("extract_errors", _ERRORS)
@@ -90,7 +91,7 @@ def viewed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands(spark, sf_dir).select("conv_id", "turn", path.alias("path"), lang.alias("lang")).where("path is not null")
 
 
-@query("summarize_trigger", f"select k, count(*) as total, not bool_or({O.has('line', X.ERROR_MARKERS)}) as benign, count(*) > case when not bool_or({O.has('line', X.ERROR_MARKERS)}) then 400 else 200 end as summarize from ({event_lines_sql()}) group by k")
+@query("summarize_trigger", f"select k, count(*) as total, not bool_or({O.has('line', V.ERROR_MARKERS)}) as benign, count(*) > case when not bool_or({O.has('line', V.ERROR_MARKERS)}) then 400 else 200 end as summarize from ({event_lines_sql()}) group by k")
 def summarize_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.summary_trigger(event_lines(spark, sf_dir), "k", 200)
 
@@ -161,18 +162,18 @@ def normalize_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("error_fingerprints", f"""
-select k, md5(shape) as fp, replace(left(arg_min(line, n), 128), '[', '(') as snippet, min(n) as first_n from (select *, {_SHAPE} as shape from ({event_lines_sql()}) where {O.has('line', X.ERROR_MARKERS)}) group by k, shape
+select k, md5(shape) as fp, replace(left(arg_min(line, n), 128), '[', '(') as snippet, min(n) as first_n from (select *, {_SHAPE} as shape from ({event_lines_sql()}) where {O.has('line', V.ERROR_MARKERS)}) group by k, shape
 """)
 def error_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.distinct_errors(event_lines(spark, sf_dir).where(X.has_error_marker(F.col("line"))), "k")
 
 
-_ALONE = " or ".join(f"(regexp_matches(l, '{w}') and regexp_matches(l, '^(.*?[^a-z0-9])?{w}([^a-z0-9]|$)') and not regexp_matches(split_part(l, '{w}', 1), '[a-z0-9]$') and not regexp_matches(l[position('{w}' in l) + {len(w)}:], '^[a-z0-9]'))" for w in extract.DIAGNOSTIC)
+_ALONE = " or ".join(f"(regexp_matches(l, '{w}') and regexp_matches(l, '^(.*?[^a-z0-9])?{w}([^a-z0-9]|$)') and not regexp_matches(split_part(l, '{w}', 1), '[a-z0-9]$') and not regexp_matches(l[position('{w}' in l) + {len(w)}:], '^[a-z0-9]'))" for w in V.DIAGNOSTIC)
 _TERMS = f"""
 select distinct k, term from (select k, lower(regexp_replace(regexp_replace(w, '^[^\\p{{L}}\\p{{N}}/._:\\[]+', ''), '[^\\p{{L}}\\p{{N}}/._:\\[]+$', '')) as term
   from (select k, unnest(list_filter(string_split_regex(line, '[{O.WS}]+'), lambda w: w <> '')) as w from (select *, lower(line) as l, {O.trim('line')} as t from ({event_lines_sql()}))
   where not (not contains(t, ' ') and (starts_with(t, './') or starts_with(t, '/'))) and ({_ALONE})))
-where strlen(term) >= 4 and not regexp_full_match(term, '[0-9]+') and term not in ({', '.join(map(O.quoted, extract.STOP))})
+where strlen(term) >= 4 and not regexp_full_match(term, '[0-9]+') and term not in ({', '.join(map(O.quoted, V.STOP))})
 """
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import lines as L
 from tidemark.plans import oracle as O
+from tidemark.plans import stated as V
 from tidemark.plans.fixtures import command_sql, event_lines, event_lines_sql, table
 from tidemark.registry import query
 
@@ -35,10 +36,10 @@ def strip_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PREDICATES = f"""
-select k, n, t = '' as blank, {O.starts('h', X.SPINNERS)} as spinner,
+select k, n, t = '' as blank, {O.starts('h', V.SPINNERS)} as spinner,
   (contains(t, '█') or contains(t, '░') or (contains(t, '[') and contains(t, ']') and contains(t, '=') and contains(t, '>')) or (ends_with(t, '%') and regexp_matches(t, '[0-9]'))) as progress,
-  starts_with(h, 'hint:') as hint, {O.starts('h', X.NPM_NOISE)} as npm, {O.starts('h', X.BUNDLER_NOISE)} as bundler,
-  contains(line, 'node_modules/') and (starts_with(h, 'at ') or contains(line, '(/.')) as frame, {O.has('line', X.ERROR_MARKERS)} as marker
+  starts_with(h, 'hint:') as hint, {O.starts('h', V.NPM_NOISE)} as npm, {O.starts('h', V.BUNDLER_NOISE)} as bundler,
+  contains(line, 'node_modules/') and (starts_with(h, 'at ') or contains(line, '(/.')) as frame, {O.has('line', V.ERROR_MARKERS)} as marker
 from (select *, {O.trim('line')} as t, {O.ltrim('line')} as h from ({_EVENTS}))
 """
 
@@ -109,9 +110,9 @@ _CLEAN = O.clean(_EVENTS)
 _TS = f"{O.has('line', ('error TS', 'warning TS'))} or (contains(line, ':') and contains(line, '(') and contains(line, ')')) or starts_with(t, 'Found ') or starts_with(t, 'error:')"
 _TF = (
     "not (starts_with(t, 'Refreshing state...') or starts_with(t, 'Reading...') or (starts_with(t, '#') and contains(t, 'is up-to-date')) or t = 'Terraform will perform the following actions:')"
-    f" and ({O.starts('t', L.TERRAFORM_STARTS)} or {O.has('t', L.TERRAFORM_PARTS)})"
+    f" and ({O.starts('t', V.TERRAFORM_STARTS)} or {O.has('t', V.TERRAFORM_PARTS)})"
 )
-_PW = f"((starts_with(t, '✓') or starts_with(t, 'ok ') or contains(t, ' ✓ ')) and not {O.has('t', ('failed', 'Error'))}) or regexp_full_match(t, '[.FT]*') or {O.starts('t', L.PLAYWRIGHT_NOISE)}"
+_PW = f"((starts_with(t, '✓') or starts_with(t, 'ok ') or contains(t, ' ✓ ')) and not {O.has('t', ('failed', 'Error'))}) or regexp_full_match(t, '[.FT]*') or {O.starts('t', V.PLAYWRIGHT_NOISE)}"
 _HANDLERS = {
     "git_log": ("git", "git log", O.truncate(O.dedup(_CLEAN, 2), 20, False)),
     "git_diff": ("git", "git diff", O.truncate(O.dedup(_CLEAN, 2), 150, False)),
@@ -121,20 +122,20 @@ _HANDLERS = {
     "test_runner": ("test_runner", "pytest", O.truncate(O.dedup(O.where(_CLEAN, f"not ({O.has('line', ('✓', '✔', ' ok'))} and not {O.has('line', ('failed', 'FAIL'))})"), 2), 100, True)),
     "playwright": ("playwright", "playwright test", O.truncate(O.dedup(O.where(_CLEAN, f"not ({_PW})"), 2), 120, True)),
     "typescript": ("typescript", "tsc", O.truncate(O.where(_CLEAN, _TS), 100, False)),
-    "build": ("build", "make", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('line', L.GRADLE_NOISE)}"), 2), 100, True)),
-    "xcodebuild": ("build", "xcodebuild", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('line', L.GRADLE_NOISE)} and not {O.starts('line', L.XCODE_NOISE)} and not {O.has('line', L.XCODE_NOTES)}"), 2), 100, True)),
-    "next_build": ("next_build", "next build", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('t', L.NEXT_NOISE)} and not (regexp_full_match(t, '\\([0-9/()]*\\)') and contains(t, '/'))"), 2), 140, False)),
-    "wrangler": ("wrangler", "wrangler deploy", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('t', L.WRANGLER_NOISE)} and not {O.has('t', (' KiB / gzip:', ' MiB / gzip:'))}"), 2), 80, True)),
+    "build": ("build", "make", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('line', V.GRADLE_NOISE)}"), 2), 100, True)),
+    "xcodebuild": ("build", "xcodebuild", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('line', V.GRADLE_NOISE)} and not {O.starts('line', V.XCODE_NOISE)} and not {O.has('line', V.XCODE_NOTES)}"), 2), 100, True)),
+    "next_build": ("next_build", "next build", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('t', V.NEXT_NOISE)} and not (regexp_full_match(t, '\\([0-9/()]*\\)') and contains(t, '/'))"), 2), 140, False)),
+    "wrangler": ("wrangler", "wrangler deploy", O.truncate(O.dedup(O.where(_CLEAN, f"not {O.starts('t', V.WRANGLER_NOISE)} and not {O.has('t', (' KiB / gzip:', ' MiB / gzip:'))}"), 2), 80, True)),
     "cloud": ("cloud", "kubectl get pods", O.truncate(O.where(_CLEAN, "not starts_with(line, '---')"), 100, False)),
     "database": ("database", "psql", O.truncate(O.where(_CLEAN, "not starts_with(line, '+')"), 52, False)),
-    "prisma_generate": ("database", "prisma generate", O.where(_CLEAN, O.has("lower(line)", L.PRISMA_PARTS))),
+    "prisma_generate": ("database", "prisma generate", O.where(_CLEAN, O.has("lower(line)", V.PRISMA_PARTS))),
     "network": ("network", "curl", O.truncate(O.where(_CLEAN, "not starts_with(line, '< ') or starts_with(line, '< HTTP')"), 60, False)),
     "runtime": ("runtime", "python3 a.py", O.truncate(O.where(_CLEAN, "not starts_with(h, 'at internal/') and not starts_with(h, 'at async internal/')"), 50, False)),
     "fs_list": ("fs", "ls -la", O.truncate(O.group(_CLEAN, 5), 50, False)),
-    "fs_env": ("fs", "env", O.truncate(O.where(_CLEAN, f"not {O.starts('line', L.ENV_NOISE)}"), 80, False)),
+    "fs_env": ("fs", "env", O.truncate(O.where(_CLEAN, f"not {O.starts('line', V.ENV_NOISE)}"), 80, False)),
     "fs_tail": ("fs", "tail -n 5 a.log", O.truncate(_CLEAN, 50, True)),
     "terraform": ("data_tool", "terraform plan", O.truncate(O.where(_EVENTS, _TF), 120, False)),
-    "helm": ("data_tool", "helm status", O.truncate(O.where(_CLEAN, f"not {O.starts('t', L.HELM_NOISE)}"), 120, False)),
+    "helm": ("data_tool", "helm status", O.truncate(O.where(_CLEAN, f"not {O.starts('t', V.HELM_NOISE)}"), 120, False)),
     "json_tool": ("data_tool", "jq .", O.truncate(O.where(_EVENTS, "t not in ('', '{}', '[]', 'null')"), 120, False)),
     "text_proc": ("text_proc", "rg foo", O.truncate(O.dedup(O.hits(_EVENTS), 2), 120, False)),
     "generic": ("generic", "x", O.truncate(O.group(O.dedup(_CLEAN, 2), 5), 120, False)),
@@ -216,7 +217,7 @@ def handler_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME = f"lower(regexp_extract(regexp_replace(regexp_replace(cmd, '^([^ ]*=[^ ]* +)+', ''), '^(npx |bunx |pnpm exec |yarn exec )', ''), '^([^ ]*/)?([^ /]*)', 2))"  # noqa: F541
-_DISPATCH = " ".join(f"when name in ({', '.join(map(O.quoted, names))}) then '{h}'" for h, names in L.HANDLERS.items())
+_DISPATCH = " ".join(f"when name in ({', '.join(map(O.quoted, names))}) then '{h}'" for h, names in V.HANDLERS.items())
 
 
 @query("handler_dispatch", f"""
@@ -239,7 +240,7 @@ with s as (select *, row_number() over (partition by k order by n) as r, count(*
 raw as (select k, count(*) as raw from ({_CODE}) group by k having count(*) >= 400),
 body as (
   select k, 1 as section, n, line from s where r <= least(3, a // 2) union all
-  select k, 2, n, line from s where {O.starts('line', L.SIGNATURES['python'])} union all
+  select k, 2, n, line from s where {O.starts('line', V.PYTHON_STARTS)} union all
   select k, 3, n, line from s where r > a - least(3, a // 2)
 ),
 held as (select body.* from body join raw using (k))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.plans.stated import BUNDLER_NOISE, NPM_NOISE, SPINNERS
+
 WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
@@ -34,8 +36,6 @@ from (select doc_id, string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r
 
 def clean(source: str) -> str:
     """Cleaned lines of the relation ``source`` (k, n, line)."""
-    from tidemark.functions.text import BUNDLER_NOISE, NPM_NOISE, SPINNERS
-
     bar = "contains(t, '[') and contains(t, ']') and contains(t, '=') and contains(t, '>')"
     return f"""
     select k, n, case when starts_with(line, '[') and position('] ' in line) > 0 and contains(line[2:position('] ' in line) - 1], '-')
