@@ -323,8 +323,11 @@ def run_mixed(lines: DataFrame, key: str, cmd: str = "cmd") -> DataFrame:
         "_v string, _cleans boolean, _hits boolean, _graphql boolean, _items boolean, _dedup int, _grouped int, _limit int, _tail boolean",
     )
     own = [c for c in lines.columns if c != cmd]
-    handled = lines.withColumn("_h", F.explode(F.array(handler_of(F.col(cmd)))))
-    rows = handled.withColumn("_v", F.explode(F.array(variant_of(F.col(cmd), F.col("_h"))))).join(F.broadcast(table), "_v").drop(cmd, "_h")
+    named = lines.withColumn(cmd, F.coalesce(cmd, F.lit("")))
+    # commands are looked at once each, not line by line
+    kinds = named.select(cmd).distinct().withColumn("_h", F.explode(F.array(handler_of(F.col(cmd)))))
+    kinds = kinds.withColumn("_v", F.explode(F.array(variant_of(F.col(cmd), F.col("_h"))))).join(F.broadcast(table), "_v").drop("_h")
+    rows = named.join(kinds, cmd).drop(cmd)
     done = graphql_errors(rows.where("_graphql").select(own), key).unionByName(work_items(rows.where("_items").select(own), key))
     rows = rows.join(done.select(key).distinct(), key, "left_anti")
     bare = rows.withColumn("_b", F.explode(F.array(F.when(F.col("_cleans"), F.replace(X.strip_ansi(F.col("line")), F.lit("\r"), F.lit(""))).otherwise(F.col("line")))))

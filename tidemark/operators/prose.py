@@ -62,20 +62,23 @@ _CLEAN = re.compile(r"[^\W_]['\w]*(?<!_)[,.;:!?]*|'['\w]*[,.;:!?]*")
 
 def _span_rules(locale: Locale, ultra: bool) -> Callable[[str], str]:
     """What happens to a stretch of prose between code and links."""
-    phrases = [re.compile(re.escape(p) + " *", re.I) for p in locale.phrases]
+    phrases = [(p, re.compile(re.escape(p) + " *", re.I)) for p in locale.phrases]
     gone = {*locale.fillers, *locale.articles, *locale.hedges}
     last = re.compile(r"(?:" + "|".join(map(re.escape, locale.conjunctions)) + r")\Z", re.I)
-    short = [(re.compile(rf"(?<!\w){re.escape(a)}(?!\w)", re.I), b) for a, b in locale.substitutions]
+    short = [(a, re.compile(rf"(?<!\w){re.escape(a)}(?!\w)", re.I), b) for a, b in locale.substitutions]
 
     def droppable(word: str) -> bool:
-        return bool(_CLEAN.fullmatch(word)) and "_" not in word and word.rstrip(",.;:!?").lower() in gone
+        return word.rstrip(",.;:!?").lower() in gone and "_" not in word and bool(_CLEAN.fullmatch(word))
 
     def run(span: str) -> str:
         if not span.strip():
             return span
         text = span
-        for phrase in phrases:
-            text = phrase.sub("", text)
+        low = text.lower()
+        for phrase, pattern in phrases:
+            if phrase in low:
+                text = pattern.sub("", text)
+                low = text.lower()
         # a dropped word takes the white space before it along
         kept = [(" " if gap else "") + word for gap, word in _WORD.findall(text) if not droppable(word)]
         text = "".join(kept)
@@ -84,8 +87,11 @@ def _span_rules(locale: Locale, ultra: bool) -> Callable[[str], str]:
         text = lead + text.lstrip().lstrip(",;: ").lstrip()
         text = re.sub(r"([.!?] )[,;] *| [,;] ", lambda m: m[1] or " ", text)
         if ultra:
-            for pattern, instead in short:
-                text = pattern.sub(instead, text)
+            low = text.lower()
+            for long, pattern, instead in short:
+                if long in low:
+                    text = pattern.sub(instead, text)
+                    low = text.lower()
         if span.startswith(" ") and not text.startswith(" "):
             text = " " + text
         return text + " " if span.endswith(" ") and not text.endswith(" ") else text

@@ -209,3 +209,13 @@ def newest_state(log: DataFrame, session: str, order: str) -> DataFrame:
     """The newest of each session's appended states; partial aggregates, no sort."""
     rest = [c for c in log.columns if c not in (session, order)]
     return log.groupBy(session).agg(F.max_by(F.struct(*rest), order).alias("x")).select(session, "x.*")
+
+
+def committed_less(touched: DataFrame, status: DataFrame, keys: list[str], path: str, line: str) -> DataFrame:
+    """Rows of ``touched`` whose path ends no line of ``status`` with the same keys.
+
+    A line's endings are its own rows, so that the anti-join is one of equals and no session's paths meet all its lines.
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.substring(line, i, F.length(line)))
+    endings = status.where(F.length(line) > 0).select(*keys, F.explode(ends).alias(path)).distinct()
+    return touched.join(endings, [*keys, path], "left_anti")

@@ -57,10 +57,14 @@ def event_lines_sql() -> str:
     return f"select {', '.join(_columns())} from (select *, event_id as e, user_id as u from events)"
 
 
+FEW = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer pieces than half the cores is dealt out, since work on text outweighs the move."""
+    """A table; a small one, of ``FEW`` pieces at most, is dealt out over the cores, since work on its text outweighs the move."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    pieces = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 64)) if pieces <= FEW and 2 * pieces < cores else df
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

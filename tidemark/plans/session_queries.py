@@ -76,8 +76,8 @@ def raw_read_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Touched files that end no line of their session's status: an anti-join on session and suffix."""
     rows = touched(spark, sf_dir)
-    status = rows.where("call % 3 = 0").select(F.col("user_id").alias("u"), F.concat(F.lit(" M "), "path").alias("line")).distinct()
-    return rows.select("user_id", "path").distinct().join(status, (F.col("user_id") == F.col("u")) & F.col("line").endswith(F.col("path")), "left_anti")
+    status = rows.where("call % 3 = 0").select("user_id", F.concat(F.lit(" M "), "path").alias("line")).distinct()
+    return sessions.committed_less(rows.select("user_id", "path").distinct(), status, ["user_id"], "path", "line")
 
 
 @query("session_windows", """
