@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable
@@ -146,8 +147,15 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not some day."""
+    """Lets the driver forget finished plans, so that executors delete their shuffle files now and not some day.
+
+    What this process holds of freed arrays goes back to the system too, where its C library can do so.
+    """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

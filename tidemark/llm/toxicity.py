@@ -482,6 +482,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     listed = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
     found = _featured(rows.select("text", "toxic"), model, lambda batch, x: pa.RecordBatch.from_arrays([batch["toxic"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "features"]), listed).toArrow()
     release(marks, known, *([events] if model.events is None else []))
+    sweep(spark)
     y = found["toxic"].to_numpy().astype(float) if found.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return None
