@@ -39,8 +39,8 @@ _SPACE[_EDGE] = True
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(DEPTH + 1)], np.uint64)
 #: Rows of the logistic fit: a bounded sample, by hash of their ids.
 FIT_ROWS = 20_000
-#: Events of a task that makes ratios of them.
-_EVENTS = 500_000
+#: Events of a task that makes ratios of them, and events that a task counts before it hands them on.
+_EVENTS, _HELD = 500_000, 1 << 19
 #: Different events of the largest table that is sent to the executors (about 12 bytes each), and bytes of text to a task beyond it.
 TABLE_EVENTS, PART_BYTES = 1 << 22, 16 << 20
 
@@ -82,15 +82,19 @@ def keyed(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
 
 
 def _events(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Counted events of a part of the training rows: context, byte, and both classes' counts."""
+    """Counted events of the training rows: context, byte, and both classes' counts, summed over ``_HELD`` events at a time."""
     held: list[tuple[np.ndarray, ...]] = []
-    size = merged = 0
+    size = 0
 
-    def merge() -> None:
+    def merged() -> Iterable[pa.RecordBatch]:
         context, byte, tally = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         _, first, at = np.unique(keyed(context, byte), return_index=True, return_inverse=True)
-        both = np.stack([np.bincount(at, weights=tally[:, k], minlength=len(first)) for k in (0, 1)], axis=1).astype(np.int64)
-        held[:] = [(context[first], byte[first], both)]
+        both = [np.bincount(at, weights=tally[:, k], minlength=len(first)).astype(np.int64) for k in (0, 1)]
+        context, byte = kernel.signed(context[first]), byte[first].astype(np.int16)
+        for lo in range(0, len(first), 1 << 16):
+            own = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (context, byte, *both)], ["context", "byte", "c0", "c1"])
 
     for batch in rows:
         body, offsets = kernel.utf8(batch["text"])
@@ -100,16 +104,14 @@ def _events(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             if not len(words.number):
                 continue
             of = label[a:b][words.texts.text_of()]
-            tally = np.stack([np.bincount(words.number[of == k], minlength=len(words.size)) for k in (0, 1)], axis=1)
+            tally = np.stack([np.bincount(words.number[of == k], minlength=len(words.size)) for k in (0, 1)], axis=1).astype(np.int32)
             held.append((words.context, words.byte.astype(np.uint8), np.repeat(tally, words.size + 1, axis=0)))
             size += len(words.context)
-            if size > 2 * merged + (1 << 20):
-                merge()
-                size = merged = len(held[0][0])
+            if size > _HELD:
+                yield from merged()
+                size = 0
     if held:
-        merge()
-        context, byte, tally = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(context)), pa.array(byte.astype(np.int16)), pa.array(tally[:, 0]), pa.array(tally[:, 1])], ["context", "byte", "c0", "c1"])
+        yield from merged()
 
 
 class Model:
