@@ -92,6 +92,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.drop("fingerprint")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             found = of_texts(batch["text"].fill_null("").to_pylist())
@@ -109,6 +110,7 @@ def edited(text: str, following: str) -> str:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@kernel.tidy
 def _compare(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the one after it in its part; parts are sorted and end with a guest, the next part's first row."""
     held: tuple | None = None

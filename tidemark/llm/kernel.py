@@ -6,12 +6,14 @@ so memory follows the longest single text, never the size of a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -20,11 +22,40 @@ _P = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _libc(name: str):
+    return getattr(ctypes.CDLL(None), name, None)
+
+
+# arrays of a megabyte and more are the system's again as soon as they are freed, in each worker that imports this
+if _libc("mallopt") is not None:
+    _libc("mallopt")(-3, 1 << 20)
+
+
+def give_back() -> None:
+    """Returns what this process holds of freed memory to the system, where its C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if _libc("malloc_trim") is not None:
+        _libc("malloc_trim")(0)
+
+
+def tidy(run: Callable[..., Iterable[pa.RecordBatch]]) -> Callable[..., Iterable[pa.RecordBatch]]:
+    """A function over batches that leaves its worker, which may idle beside others, without freed memory."""
+
+    @wraps(run)
+    def wrapped(*rows) -> Iterable[pa.RecordBatch]:
+        try:
+            yield from run(*rows)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        m = 1 << max(n - 1, 1 << 12).bit_length()
+        m = -(-n // (1 << 14)) << 14
         up = np.full(m, base, np.uint64)
         down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1

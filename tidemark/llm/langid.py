@@ -92,6 +92,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+@kernel.tidy
 def _vectors(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for batch in rows:
         for at in range(0, batch.num_rows, _ROWS):
@@ -161,6 +162,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sent = spark.sparkContext.broadcast(model)
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         model = sent.value
         for batch in rows:

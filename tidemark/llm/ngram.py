@@ -73,6 +73,7 @@ def _texts(rows: Iterable[pa.RecordBatch]):
 
 
 def _identities(n: int):
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for ids, texts in _texts(rows):
             grams, bounds = sets(texts, n)
@@ -104,6 +105,7 @@ def _parities(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 def _differ_little(percent: int):
     """Keeps the pairs whose parities don't show more differences than their sizes allow."""
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             keep = []
@@ -143,6 +145,7 @@ def classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _cells(n: int):
     """Counts by cell over a part of the texts, as rows (range, counts)."""
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         count = np.zeros(CELLS, np.uint32)
         for _, texts in _texts(rows):
@@ -153,6 +156,7 @@ def _cells(n: int):
     return run
 
 
+@kernel.tidy
 def _summed(group: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in group:
@@ -207,6 +211,7 @@ def _blocks(n: int, percent: int, frequent):
         full, own = held > 0, owner[held > 0]
         return batch_of(block[full], ids[own], sizes[own], np.zeros(len(own))), np.bincount(owner[~full], minlength=len(sizes))
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for ids, texts in _texts(rows):
             grams, bounds = sets(texts, n)
@@ -235,6 +240,7 @@ def _blocks(n: int, percent: int, frequent):
 
 
 def _rows(n: int):
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for ids, texts in _texts(rows):
             grams, bounds = sets(texts, n)
@@ -247,6 +253,7 @@ def _rows(n: int):
 def _overlaps(percent: int):
     """Accumulates overlap counts over the sparse rows of a batch of pairs; keeps pairs at their bound or above."""
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             for at in range(0, batch.num_rows, ROWS):

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import kernel
 from tidemark.llm.spread import cut, release, sweep, table
 from tidemark.llm.tokens import encoder
 
@@ -71,6 +72,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def _cut_pieces(path: str, capacity: int):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             texts, ids = batch["text"].fill_null("").to_pylist(), batch["doc_id"].to_pylist()

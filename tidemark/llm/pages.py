@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm import kernel
+
 #: Function words of the languages known here; a block's share of them is its stop-word density.
 STOP_WORDS = frozenset(
     """
@@ -247,6 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rest = [c for c in pages.columns if c != "html"]
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             texts = [main_text(x) for x in batch["html"].to_pylist()]

@@ -152,6 +152,7 @@ def quality(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*_COLUMNS, "base_failed", "kept")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])

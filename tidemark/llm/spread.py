@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import uuid
 from collections.abc import Iterable
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.kernel import give_back
 from tidemark.sources.shared import file_system, shared_folder
 
 #: Bits of the largest bitmap that is sent to the executors (8 MB); beyond it more rows pass, none is lost.
@@ -152,10 +152,7 @@ def sweep(spark: SparkSession) -> None:
     What this process holds of freed arrays goes back to the system too, where its C library can do so.
     """
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 

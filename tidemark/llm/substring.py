@@ -45,6 +45,7 @@ def _places(texts: kernel.Words) -> np.ndarray:
     return np.arange(len(texts.start)) - np.repeat(texts.bounds[:-1], texts.count)
 
 
+@kernel.tidy
 def _identities(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for batch in rows:
         body, offsets = kernel.utf8(batch["text"])
@@ -60,6 +61,7 @@ def _anchors(width: int, passes=None):
     member = np.zeros(period, bool)
     member[list(cover)] = True
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])
@@ -87,6 +89,7 @@ def _candidates(width: int):
     """Hashes of the windows that hold a repeated anchor (``places`` are the anchors' places), and whether the text has them earlier too."""
     _, _, length = cover_for(width)
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])
@@ -169,6 +172,7 @@ def removed_places(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
 def _clean(width: int, digest: bool, passed: list[str]):
     """Cuts the covered words. digest: the query's columns; else the text without them and otherwise unchanged."""
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])

@@ -81,6 +81,7 @@ def keyed(context: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return kernel.mix(kernel.mix(context, 1) + byte.astype(np.uint64), 2)
 
 
+@kernel.tidy
 def _events(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Counted events of the training rows: context, byte, and both classes' counts, summed over ``_HELD`` events at a time."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -281,6 +282,7 @@ def _long(short: np.ndarray):
     Longest contexts, and those from a word's start, have counts; any other has the number of bytes seen before it.
     """
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held = [b for b in rows if b.num_rows]
         if not held:
@@ -334,6 +336,7 @@ def _spelled(rows: Iterable[pa.RecordBatch], column: str = "text") -> Iterable[t
             yield batch, a, b, Spelled(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+@kernel.tidy
 def _spellings(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Different words of texts."""
     for _, _, _, words in _spelled(rows):
@@ -341,6 +344,7 @@ def _spellings(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(words.id)), pa.array([body[a : a + n] for a, n in zip(words.start.tolist(), words.size.tolist(), strict=True)], pa.binary())], ["word", "spelling"])
 
 
+@kernel.tidy
 def _asked(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """The events of words, by word and piece."""
     for batch in rows:
@@ -356,6 +360,7 @@ def _asked(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 def _answers(model: Model):
     """Ratios of the events asked for, summed by word and piece; a part's counted events come first."""
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held, own = [], None
         for batch in rows:
@@ -375,6 +380,7 @@ def _answers(model: Model):
 
 
 def _needed(name: str):
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch, a, b, words in _spelled(rows):
             part = np.asarray(batch[name])[a:b]
@@ -416,6 +422,7 @@ def _apart(docs: DataFrame, model: Model, finish: Callable[[pa.RecordBatch, np.n
     rows = dealt.unionByName(need, allowMissingColumns=True).repartitionById(parts, F.col(name).cast("int")).sortWithinPartitions(F.col(own[0]).isNull())
     columns = docs.columns
 
+    @kernel.tidy
     def run(found: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held, key, value = [], None, None
         for batch in found:
@@ -450,6 +457,7 @@ def _by_table(docs: DataFrame, model: Model | None, finish: Callable[[pa.RecordB
     """``finish`` over batches of ``docs`` and their features, with the model's table sent to the executors."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @kernel.tidy
     def run(rows: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in rows:
             body, offsets = kernel.utf8(batch["text"])
