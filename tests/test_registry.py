@@ -1,5 +1,9 @@
 """The registry: every oracle belongs to a query, and a sample of queries agrees with DuckDB."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -12,6 +16,11 @@ def test_names():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90
 
 
+def test_names_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 140 and len(e.oracle_sql()) > 130"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, timeout=120).returncode == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -96,7 +96,6 @@ def summarize_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.summary_trigger(event_lines(spark, sf_dir), "k", 200)
 
 
-_CMD = F.concat(F.lit("cmd "), F.col("k").cast("string"))
 _SESSION_PATHS = f"select k, count(*) as n, list(w order by first_n)[:5] as top from ({_paths_sql('k', _OUTPUT)}) group by k"
 _FIELDS = f"""
 select o.k, 'cmd ' || o.k as cmd, len(string_split(o.text, chr(10)))::int as total, least(coalesce(p.n, 0), 100)::int as unique_files, coalesce(e.errors, '') as top_errors, coalesce(array_to_string(p.top, '|'), '') as top_files,
@@ -106,9 +105,13 @@ join (select k, coalesce(left(arg_min(t, n) filter (where {_RESULT}), 80), '') a
 """
 
 
+def _cmd():
+    return F.concat(F.lit("cmd "), F.col("k").cast("string"))
+
+
 @query("summary_fields", _FIELDS)
 def summary_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.summary_fields(event_lines(spark, sf_dir), "k", _CMD, 20)
+    found = extract.summary_fields(event_lines(spark, sf_dir), "k", _cmd(), 20)
     return found.withColumn("top_errors", F.array_join("top_errors", "|")).withColumn("top_files", F.array_join("top_files", "|"))
 
 
@@ -127,13 +130,13 @@ with f as ({_FIELDS}), rows as (
 
 @query("summary_prose", _PROSE)
 def summary_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.prose_summary(event_lines(spark, sf_dir), "k", _CMD)
+    return extract.prose_summary(event_lines(spark, sf_dir), "k", _cmd())
 
 
 @query("summary_structured", f"select k, 'summary' as kind, cmd, total, case when top_files = '' then 0 else len(string_split(top_files, '|')) end::int as n_files, top_errors as errors, test_summary as test, least(5, total)::int as tail from ({_FIELDS})")
 def summary_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON summary, read back by its schema."""
-    made = extract.structured(extract.summary_fields(event_lines(spark, sf_dir), "k", _CMD, 5), "k")
+    made = extract.structured(extract.summary_fields(event_lines(spark, sf_dir), "k", _cmd(), 5), "k")
     parsed = made.select("k", F.from_json("summary", "kind string, cmd string, total int, files array<string>, errors array<string>, test string, tail int").alias("s"))
     return parsed.select("k", "s.kind", "s.cmd", "s.total", F.size("s.files").alias("n_files"), F.array_join("s.errors", "|").alias("errors"), "s.test", "s.tail")
 
@@ -150,7 +153,7 @@ def summary_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries as the session's tier asks for: brief ones under pressure, with the last lines after them."""
     lines = event_lines(spark, sf_dir)
     tiers = lines.select("k", F.when(F.col("k") % 3 == 0, "ultra").otherwise("full").alias("tier")).distinct()
-    return extract.auto_summary(lines, "k", _CMD, tiers)
+    return extract.auto_summary(lines, "k", _cmd(), tiers)
 
 
 _SHAPE = f"left(regexp_replace(regexp_replace(regexp_replace(lower({O.trim('line')}), '/[^{O.WS}\"]+', 'PATH', 'g'), '[a-f][0-9a-f]{{5,}}', 'HEX', 'g'), '[0-9]+', 'N', 'g'), 200)"
